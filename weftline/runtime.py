@@ -58,3 +58,12 @@ def parallelism(spark: SparkSession) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions where a scan has fewer than the cluster has cores.
+
+    Large inputs are split by the scan itself and pass unchanged, without a shuffle.
+    """
+    cores = parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
