@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +68,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = parallelism(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
+
+    Like :func:`cut`, but later steps read only the columns they need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
