@@ -55,77 +55,115 @@ def walk(nodes: np.ndarray, tokens: np.ndarray, levels: int, similarity: float)
     return nodes
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """128 bits, each the parity of a minimal hash: two sets agree in (1 + similarity) / 2 of them."""
+    low = (mix(tokens.astype(np.uint64))[None, :] * _SKETCH[:, None]).min(axis=1)
+    return np.packbits((mix(low) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+_SKETCH = mix(np.arange(1001, 1129, dtype=np.uint64)) | np.uint64(1)
+
+
 def sets(df: DataFrame, key: str, text: Column, runs: int, depth: int, similarity: float) -> DataFrame:
-    """``id``, ``cls`` (identity of the set), ``n``, ``tokens`` and ``nodes``; without rows of too few words."""
+    """``id``, ``cls`` (identity of the set), ``n``, ``tokens``, ``nodes``, ``s1`` and ``s2``.
+
+    Rows of too few words are left out. A task gives the arrays of a class only
+    with the first row that it sees of it, so copies add no more than their ids.
+    """
     roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    none32, none64 = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+        ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else [], kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [(i, s) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if len(s := shingles(t))]
-                reached = [walk(roots, s, depth, similarity).astype(np.int64) for _, s in rows]
-                flat = lambda parts, kind: pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind)
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i for i, _ in rows], pa.int64()),
-                        pa.array([signature(s) for _, s in rows], pa.int64()),
-                        pa.array([len(s) for _, s in rows], pa.int32()),
-                        flat([s.view(np.int32) for _, s in rows], pa.int32()),
-                        flat(reached, pa.int64()),
-                    ],
-                    ["id", "cls", "n", "tokens", "nodes"],
-                )
-
-    return df.select(F.col(key).cast("long").alias("id"), text.alias("t")).mapInArrow(run, "id long, cls long, n int, tokens array<int>, nodes array<long>")
+                rows = []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    s = shingles(text)
+                    if not len(s):
+                        continue
+                    cls = signature(s)
+                    if cls in seen:
+                        rows.append((i, cls, len(s), none32, none64, None, None))
+                        continue
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(cls)
+                    rows.append((i, cls, len(s), s.view(np.int32), walk(roots, s, depth, similarity).astype(np.int64), *map(int, sketch(s))))
+                c = list(zip(*rows)) if rows else [()] * 7
+                arrays = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), lists(c[3], pa.int32()), lists(c[4], pa.int64()), pa.array(c[5], pa.int64()), pa.array(c[6], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "cls", "n", "tokens", "nodes", "s1", "s2"])
+
+    schema = "id long, cls long, n int, tokens array<int>, nodes array<long>, s1 long, s2 long"
+    return df.select(F.col(key).cast("long").alias("id"), text.alias("t")).mapInArrow(run, schema)
 
 
 def deeper(at: DataFrame, tokens: DataFrame, levels: int, similarity: float) -> DataFrame:
-    """Split the buckets of ``at`` (node, cls, n) by further levels."""
+    """Split the buckets of ``at`` (node, cls) by further levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, cls, n, toks = (c.to_pylist() if i < 3 else c for i, c in enumerate(batch.columns))
+            node, cls, toks = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             ends, flat = toks.offsets.to_numpy(), toks.values.to_numpy().view(np.uint32)
             rows = []
             for i in range(batch.num_rows):
                 own = walk(np.array([node[i]], np.int64).view(np.uint64), flat[ends[i] : ends[i + 1]], levels, similarity)
-                rows += [(int(x), cls[i], n[i]) for x in own.view(np.int64)]
-            a, b, c = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], ["node", "cls", "n"])
+                rows += [(x, cls[i]) for x in own.view(np.int64).tolist()]
+            a, b = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "cls"])
+
+    return at.join(tokens, "cls").select("node", "cls", "tokens").mapInArrow(run, "node long, cls long")
+
 
-    return at.join(tokens, "cls").select("node", "cls", "n", "tokens").mapInArrow(run, "node long, cls long, n int")
+def shared_buckets(at: DataFrame) -> DataFrame:
+    """``node``, ``cls`` and ``size`` of the buckets with at least two classes; one shuffle."""
+    rows = at.repartition("node").distinct()
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    return rows.join(sizes, "node")
 
 
-def meetings(at: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of classes in the same bucket whose sizes allow the similarity."""
-    a = at.select("node", F.col("cls").alias("a"), F.col("n").alias("na"))
-    b = at.select("node", F.col("cls").alias("b"), F.col("n").alias("nb"))
-    fit = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity)) & (F.col("a") < F.col("b"))
-    return a.join(b, "node").where(fit).select("a", "b")
+def meetings(at: DataFrame) -> DataFrame:
+    """All pairs of classes in the same bucket."""
+    a, b = at.select("node", F.col("cls").alias("a")), at.select("node", F.col("cls").alias("b"))
+    return a.join(b, "node").where(F.col("a") < F.col("b")).select("a", "b")
 
 
 def similar_classes(records: DataFrame, similarity: float = SIMILARITY, depth: int = DEPTH, deepest: int = DEEPEST, small: int = SMALL) -> DataFrame:
-    """``a``, ``b``, ``similarity`` of each pair of different classes of ``records`` (stored :func:`sets`)."""
-    tokens = records.select("cls", "tokens")
-    at = records.select(F.explode("nodes").alias("node"), "cls", "n").distinct()
+    """``a``, ``b``, ``similarity`` of each pair of different classes of ``records`` (stored :func:`sets`).
+
+    Before the exact check, pairs that agree in fewer than ``low`` of the 128
+    bits of their sketches, or whose sizes don't allow the similarity, are
+    dropped; ``low`` is five standard deviations below the mean at the threshold.
+    """
+    tokens = records.where(F.size("tokens") > 0).select("cls", "tokens")
+    at = stored(shared_buckets(records.select(F.explode("nodes").alias("node"), "cls")), "buckets")
     found = []
     while True:
-        at = stored(at, "buckets")
-        large = at.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > small).select("node")
-        if depth >= deepest or not large.take(1):
-            found.append(meetings(at, similarity))
+        if depth >= deepest or not at.where(F.col("size") > small).take(1):
+            found.append(meetings(at))
             break
-        found.append(meetings(at.join(large, "node", "left_anti"), similarity))
-        one = tokens.groupBy("cls").agg(F.first("tokens").alias("tokens"))
-        at = deeper(at.join(large, "node", "left_semi"), one, 2, similarity).distinct()
+        found.append(meetings(at.where(F.col("size") <= small)))
+        large = stored(at.where(F.col("size") > small).select("node", "cls"), "large")  # its size, known now, picks the join
+        one = tokens.join(large.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+        at = stored(shared_buckets(deeper(large, one, 2, similarity)), "buckets")
         depth += 2
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
-    pairs = stored(pairs.distinct(), "candidates")
+    mean = (1 + similarity) / 2
+    low = int(128 * mean - 5 * math.sqrt(128 * mean * (1 - mean)))
+    sketches = records.where(F.col("s1").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    for side in "ab":
+        pairs = pairs.distinct() if side == "a" else pairs
+        pairs = pairs.join(sketches.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("s1").alias(f"s1{side}"), F.col("s2").alias(f"s2{side}")), side)
+    differ = F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b")))
+    fit = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity)) & (differ <= 128 - low)
+    pairs = stored(pairs.where(fit).select("a", "b"), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     one = tokens.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
     both = pairs.join(one.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(one.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
