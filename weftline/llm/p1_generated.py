@@ -48,8 +48,9 @@ _MADE = re.compile(
 _TAKEN = re.compile(
     r"(?i)\bvendored (?:from|copy of|version of)|\bcopied (?:\w+ )?from\b|\bbundled copy of|\bthird[- ]party code\b|\bpart of the [\w-]+ (?:library|project|framework|package)\b|\bimported snapshot\b|\bimported from upstream\b|\bsend (?:fixes|patches) upstream\b"
 )
-_DENIED = re.compile(r"(?i)\b(?:not|never|isn't|no longer|without) (?:auto-?|automatically |machine[- ])?generated|\bnot (?:vendored|copied)|\b(?:by hand|hand[- ]?written|edit freely)\b")
-_COMMENT = re.compile(r"^\s*(?://|#(?!\s*(?:define|include|if|else|pragma|error|warning)\b)|--|/\*|\*|<!--|;|\"\"\"|''')")
+_DENIED = re.compile(r"(?i)\b(?:not|never|isn't|no longer|without) (?:auto-?|automatically |machine[- ])?generated|\bnot (?:vendored|copied)|\b(?:(?:maintained|written|made|edited) by hand|hand[- ]?(?:written|made|edited)|edit freely)\b")
+_COMMENT = re.compile(r"^\s*(?://|#(?!\s*(?:define|include|if|else|pragma|error|warning)\b)|--|/\*|\*|<!--|;|\"\"\"|'''|\"[$_]?(?:notice|comment|generated(?:[_-]?by)?|warning|header|//)\"\s*:)")
+_LOCK = re.compile(r'"(?:lockfileVersion|integrity)"\s*:\s*(?:\d|"sha\d+-)')
 _LITERALS = re.compile(
     r"""^\s*[\[{(]*\s*(?:(?:[-+]?(?:0[xX][0-9a-fA-F_]+|\d[\d._]*(?:[eE][-+]?\d+)?)[uUlLfF]*(?:i\d+|u\d+|f\d+)?|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)\s*[\])}]*\s*(?:,|;|$)\s*[\[{(]*\s*)+[\])},;]*\s*$"""
 )
@@ -72,6 +73,8 @@ def text_evidence(text: str | None, language: str | None) -> str | None:
                 if _TAKEN.search(line):
                     return "vendored"
                 mapped |= "sourceMappingURL=" in line
+    if language in (None, "json") and len(_LOCK.findall(text)) >= 3:
+        return "generated"
     long = sum(len(x) for x in lines if len(x) > 300)
     if len(text) > 400 and language not in DATA and (long >= 0.6 * len(text) or mapped and long >= 0.2 * len(text)):
         blanks = sum(x.count(" ") for x in lines if len(x) > 300)
