@@ -18,6 +18,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from . import text as T
 
@@ -126,7 +127,7 @@ def same(a: str | None, b: str | None, language: str | None) -> bool:
     return token_equal(a, b, language)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _same(a: pd.Series, b: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([same(x, y, g) for x, y, g in zip(a, b, language)], dtype=bool)
 

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 REACH, BUFFER, FAR = 30, 3, 30  # lines around an anchor, around an edit, and from where a match is misplaced
 PATCH_PENALTY, SIDE_PENALTY = 0.25, 0.35
@@ -130,24 +131,30 @@ def line_errors(snippet: str | None, truth: str, prediction: str) -> tuple[int,
     return patch, side
 
 
-FEATURES = "no_op_score double, patch_match_score double, expected_edit_count int, actual_edit_count int, side_effect_opcode_count int, patch_area_opcode_count int, missing array<int>, near_miss array<int>, misplaced array<int>, windows array<struct<start:int,end:int>>"
+_D, _I, _IDS = DoubleType(), IntegerType(), ArrayType(IntegerType())
+FEATURES = StructType(
+    [StructField(c, _D) for c in ("no_op_score", "patch_match_score")]
+    + [StructField(c, _I) for c in ("expected_edit_count", "actual_edit_count", "side_effect_opcode_count", "patch_area_opcode_count")]
+    + [StructField(c, _IDS) for c in ("missing", "near_miss", "misplaced")]
+    + [StructField("windows", ArrayType(StructType([StructField("start", _I), StructField("end", _I)])))]
+)
 
 
 @F.pandas_udf(FEATURES)
 def diff_features(original: pd.Series, truth: pd.Series, prediction: pd.Series) -> pd.DataFrame:
     """A struct of features per row; nulls count as empty texts."""
     rows = [summary(a or "", b or "", p or "") for a, b, p in zip(original, truth, prediction)]
-    frame = pd.DataFrame(rows, columns=[f.split()[0] for f in FEATURES.split(", ")])
+    frame = pd.DataFrame(rows, columns=FEATURES.names)
     frame["windows"] = [[{"start": s, "end": e} for s, e in w] for w in frame["windows"]]
     return frame
 
 
-@F.pandas_udf("patch int, side int")
+@F.pandas_udf(StructType([StructField("patch", _I), StructField("side", _I)]))
 def line_error_counts(snippet: pd.Series, truth: pd.Series, prediction: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([line_errors(s, a or "", p or "") for s, a, p in zip(snippet, truth, prediction)], columns=["patch", "side"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([unified(x or "", y or "") for x, y in zip(a, b)], dtype=object)
 

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 Span = tuple[int, int]
 
@@ -306,6 +307,9 @@ def apply_diff(original: str, patch: str) -> str:
     return "\n".join(lines)
 
 
+RESULT = StructType([StructField("result", StringType()), StructField("error", StringType())])
+
+
 def _safely(apply: Callable[[str, str], str], original: str | None, patch: str | None) -> tuple[str | None, str | None]:
     if patch is None or not patch.strip():
         return None, "Empty model output"
@@ -317,12 +321,12 @@ def _safely(apply: Callable[[str, str], str], original: str | None, patch: str |
         return None, f"Unexpected apply error: {e}"
 
 
-@F.pandas_udf("result string, error string")
+@F.pandas_udf(RESULT)
 def sar_apply(original: pd.Series, patch: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_safely(apply_edits, a, p) for a, p in zip(original, patch)], columns=["result", "error"])
 
 
-@F.pandas_udf("result string, error string")
+@F.pandas_udf(RESULT)
 def udiff_apply(original: pd.Series, patch: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_safely(apply_diff, a, p) for a, p in zip(original, patch)], columns=["result", "error"])
 

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def accuracy(scored: DataFrame, language: Column, total: bool = False) -> DataFrame:
-    """A1: ``language``, ``samples``, ``accuracy``; with ``total`` also a row for all (language ``ALL``)."""
+def total(df: DataFrame, column: str) -> int:
+    """The sum of a column: one number on the driver."""
+    return df.agg(F.sum(column)).first()[0] or 0
+
+
+def accuracy(scored: DataFrame, language: Column, overall: bool = False) -> DataFrame:
+    """A1: ``language``, ``samples``, ``accuracy``; with ``overall`` also a row for all (language ``ALL``)."""
     df = scored.withColumn("language", language)
     figures = [F.count(F.lit(1)).alias("samples"), F.round(F.avg("score"), 6).alias("accuracy")]
-    if not total:
+    if not overall:
         return df.groupBy("language").agg(*figures)
     out = df.rollup("language").agg(*figures, F.grouping("language").alias("_all"))
     return out.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("language")).alias("language"), "samples", "accuracy")
@@ -41,8 +46,8 @@ def error_ratios(classified: DataFrame, types: DataFrame) -> DataFrame:
     """``error_type``, ``n``, ``ratio``: all classes, also those that don't occur, and any other name."""
     counts = classified.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
     every = types.join(counts, "error_type", "full").select("error_type", F.coalesce("n", F.lit(0)).alias("n"))
-    whole = every.agg(F.sum("n").alias("whole"))
-    return every.join(F.broadcast(whole)).select("error_type", "n", F.round(F.when(F.col("whole") > 0, F.col("n") / F.col("whole")).otherwise(0.0), 6).alias("ratio"))
+    whole = total(every, "n")
+    return every.select("error_type", "n", F.round(F.col("n") / whole if whole else F.lit(0.0), 6).alias("ratio"))
 
 
 def pass_rates(judged: DataFrame, passed: Column) -> DataFrame:
@@ -64,9 +69,11 @@ def latency(df: DataFrame, group: str, seconds: str, tokens: str) -> DataFrame:
 
 def terciles(df: DataFrame, value: str, name: str = "bucket") -> DataFrame:
     """``low``, ``mid`` or ``high`` by the interpolated thirds of ``value``."""
-    cuts = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cuts"))
-    bucket = F.when(F.col(value) <= F.col("_cuts")[0], "low").when(F.col(value) <= F.col("_cuts")[1], "mid").otherwise("high")
-    return df.join(F.broadcast(cuts)).withColumn(name, bucket).drop("_cuts")
+    # equal values are counted first, so the percentile sees each value once
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counts.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3)), F.col("_n"))).first()[0] or [0.0, 0.0]
+    bucket = F.when(F.col(value) <= cuts[0], "low").when(F.col(value) <= cuts[1], "mid").otherwise("high")
+    return df.withColumn(name, bucket)
 
 
 def cost(tokens_in: Column, tokens_out: Column, per_in: float = 1.25, per_out: float = 5.0) -> Column:
@@ -77,8 +84,7 @@ def cost(tokens_in: Column, tokens_out: Column, per_in: float = 1.25, per_out: f
 def top_k(df: DataFrame, key: str, k: int) -> DataFrame:
     """The ``k`` most frequent values with their share in percent; ties by value."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.sum("n").alias("whole"))
-    shares = counts.join(F.broadcast(whole)).select(key, "n", T.percent(F.col("n"), F.col("whole")).alias("percent"))
+    shares = counts.select(key, "n", T.percent(F.col("n"), F.lit(total(counts, "n"))).alias("percent"))
     return shares.orderBy(F.desc("n"), key).limit(k)
 
 

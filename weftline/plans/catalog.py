@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_ENTRIES: dict = {}
+from . import data_queries, score_queries, text_queries
+
+_ENTRIES: dict = {**data_queries.QUERIES, **score_queries.QUERIES, **text_queries.QUERIES}
 
 
 def queries() -> dict:
