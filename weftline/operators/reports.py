@@ -34,7 +34,7 @@ def pivot(scored: DataFrame, models: list[str]) -> DataFrame:
 
 def markdown(table: DataFrame, first: str, columns: list[str], last: str = "Average") -> DataFrame:
     """K9: the lines of a Markdown table as (``nth``, ``line``): header, rule, rows by name, the average last."""
-    cell = lambda c: F.coalesce(F.format_string("%.2f%%", F.col(c) * 100), F.lit(""))
+    cell = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", F.col(c) * 100)).otherwise("")
     row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col(first), *map(cell, columns)), F.lit(" |"))
     spark = table.sparkSession
     head = [(0, "", "| " + " | ".join([first, *columns]) + " |"), (1, "", "|" + "---|" * (len(columns) + 1))]
