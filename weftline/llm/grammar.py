@@ -180,6 +180,8 @@ def block(body: str, language: str, top: bool = False) -> bool:
     if not body.strip("n;"):
         return True
     if language in _NEEDS_END:
+        if top and language == "java" and body[0] in "Bpb0s":
+            return False
         if _TRIPLE.search(body) or _CONTROL.search(body) and "Cpp" not in body and not re.search(r"T[CK]|C[BT]", body):
             return False
         last = body.rsplit(";", 1)[-1]
@@ -194,7 +196,7 @@ def block(body: str, language: str, top: bool = False) -> bool:
         return True
     if language == "go":
         for s in re.split(r"[n;]", body):
-            if s and (s[-1] in "=" or top and s[0] not in "KTB" and not re.match(r"[p)]", s)):
+            if s and (s[-1] in "=" or top and s[0] not in "KTp"):
                 return False
         return True
     if language == "rust":

@@ -50,6 +50,7 @@ _TAKEN = re.compile(
 )
 _DENIED = re.compile(r"(?i)\b(?:not|never|isn't|no longer|without) (?:auto-?|automatically |machine[- ])?generated|\bnot (?:vendored|copied)|\b(?:(?:maintained|written|made|edited) by hand|hand[- ]?(?:written|made|edited)|edit freely)\b")
 _COMMENT = re.compile(r"^\s*(?://|#(?!\s*(?:define|include|if|else|pragma|error|warning)\b)|--|/\*|\*|<!--|;|\"\"\"|'''|\"[$_]?(?:notice|comment|generated(?:[_-]?by)?|warning|header|//)\"\s*:)")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`")
 _LOCK = re.compile(r'"(?:lockfileVersion|integrity)"\s*:\s*(?:\d|"sha\d+-)')
 _LITERALS = re.compile(
     r"""^\s*[\[{(]*\s*(?:(?:[-+]?(?:0[xX][0-9a-fA-F_]+|\d[\d._]*(?:[eE][-+]?\d+)?)[uUlLfF]*(?:i\d+|u\d+|f\d+)?|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)\s*[\])}]*\s*(?:,|;|$)\s*[\[{(]*\s*)+[\])},;]*\s*$"""
@@ -77,8 +78,9 @@ def text_evidence(text: str | None, language: str | None) -> str | None:
         return "generated"
     long = sum(len(x) for x in lines if len(x) > 300)
     if len(text) > 400 and language not in DATA and (long >= 0.6 * len(text) or mapped and long >= 0.2 * len(text)):
-        blanks = sum(x.count(" ") for x in lines if len(x) > 300)
-        if blanks < 0.12 * long:
+        code = [_QUOTED.sub("", x) for x in lines if len(x) > 300]  # one long literal is no minified code
+        dense = sum(map(len, code))
+        if dense >= 0.3 * len(text) and sum(x.count(" ") for x in code) < 0.12 * dense:
             return "minified"
     if language not in DATA and len(lines) >= 12:
         listed = sum(len(x) for x in lines if len(x) < 2000 and _LITERALS.match(x))

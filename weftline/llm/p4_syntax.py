@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import spread, table
+from ..runtime import spread, stored, table
 from . import grammar
 from .languages import SPELLINGS, language_of
 from .p2_pairs import content, is_empty
@@ -303,7 +303,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, invalid files and their share per repository and language."""
     rows = table(spark, sf_dir, "apply_samples")
-    files = lexed(spread(rows.select("sample_id", "language", *FIELDS)))
+    files = stored(lexed(spread(rows.select("sample_id", "language", *FIELDS))), "lexed")
     bad = invalid(files).withColumn("bad", F.lit(1))
     repos = rows.select(F.col("sample_id").alias("id"), repo_name(F.col("repo")).alias("repo"))
     every = files.select("id", "field", "language").join(repos, "id").join(bad, ["id", "field"], "left")
