@@ -119,8 +119,9 @@ def test_defects():
 
 
 def test_pairs_table(spark):
-    df = spark.createDataFrame([("1", None, "s", JS, "js", 1), ("2", JS + "// more\n", None, None, None, 1), ("2", JS + "// more\n", None, None, None, 1)], "record_id string, answer string, snippet string, original string, language string, defects int")
-    assert [tuple(r) for r in p2.judge(df, False).collect()] == [("1", ["empty"])]
+    rows = [("1", None, "s", JS, "js", None), ("2", JS + "// more\n", None, None, None, None), ("2", JS + "// more\n", None, None, None, None), ("3", JS[:60], None, None, "js", JS), ("4", JS, None, " ", "js", JS)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "record_id string, answer string, snippet string, original string, language string, whole string, defects int")
+    assert sorted(tuple(r) for r in p2.judge(df, False).collect()) == [("1", ["empty"]), ("3", ["truncated"])]
     assert p2.judge(df.limit(0), True).count() == 0
 
 

@@ -9,8 +9,8 @@ delimiters that stay open. ``defects`` gives every rule that fires, in this
 order, and the first is the defect of the pair.
 
 Defined results: null, blank and ``ERROR`` contents are empty; a null language
-can't be missed; a null original can't be copied or cut short, but open
-delimiters still count when the last line breaks off; repeated rows are judged
+can't be missed; without an original the complete file, if there is one, tells
+whether an answer was cut, else open delimiters and a last line that breaks off; repeated rows are judged
 alike; texts are read whole; an empty table gives no rows; other columns are
 dropped.
 """
@@ -178,8 +178,8 @@ def breaks_off(text: str) -> bool:
     return bool(re.search(r"[,({\[=+\-*/&|.]$|\b(?:and|or|return|if|def|function)$", last)) and text.count("(") + text.count("{") + text.count("[") > text.count(")") + text.count("}") + text.count("]")
 
 
-def defects(answer: str | None, snippet: str | None, original: str | None, language: str | None, both: bool) -> list[str]:
-    """Every rule that fires, the strongest first; ``both``: an empty snippet counts too."""
+def defects(answer: str | None, snippet: str | None, original: str | None, language: str | None, both: bool, whole: str | None = None) -> list[str]:
+    """Every rule that fires, the strongest first; ``both``: an empty snippet counts too; ``whole``: a complete file to measure by without an original."""
     if is_empty(answer) or both and is_empty(snippet):
         return ["empty"]
     out = []
@@ -190,27 +190,28 @@ def defects(answer: str | None, snippet: str | None, original: str | None, langu
         out.append("copy")
     if other_language(answer, language_of(language), original):
         out.append("other_language")
-    if not out and (truncated(answer, original, snippet) or is_empty(original) and breaks_off(answer)):
+    measure = whole if is_empty(original) else original
+    if not out and (truncated(answer, measure, snippet) or is_empty(measure) and breaks_off(answer)):
         out.append("truncated")
     return out
 
 
 def judge(df: DataFrame, both: bool) -> DataFrame:
-    """``record_id`` and ``defects`` of (record_id, answer, snippet, original, language); sound pairs are left out."""
+    """``record_id`` and ``defects`` of (record_id, answer, snippet, original, language, whole); sound pairs are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, *rest = (c.to_pylist() for c in batch.columns)
-            found = [(i, d) for i, (a, s, o, g) in zip(ids, zip(*rest)) if (d := defects(a if both else content(a), s, o, g, both))]
+            found = [(i, d) for i, (a, s, o, g, w) in zip(ids, zip(*rest)) if (d := defects(a if both else content(a), s, o, g, both, w))]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.string()), pa.array([d for _, d in found], pa.list_(pa.string()))], ["record_id", "defects"])
 
-    return df.select("record_id", "answer", "snippet", "original", "language").mapInArrow(run, "record_id string, defects array<string>")
+    return df.select("record_id", "answer", "snippet", "original", "language", "whole").mapInArrow(run, "record_id string, defects array<string>")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source_table``, ``record_id`` and ``defects`` over both tables."""
-    a = table(spark, sf_dir, "apply_samples").select(F.col("sample_id").cast("string").alias("record_id"), F.col("prediction_raw").alias("answer"), F.col("update_snippet").alias("snippet"), F.col("original_code").alias("original"), "language")
-    j = table(spark, sf_dir, "judged_samples").select(F.col("custom_id").alias("record_id"), F.col("final_code").alias("answer"), F.col("update_snippet").alias("snippet"), F.col("original_code").alias("original"), "language")
+    a = table(spark, sf_dir, "apply_samples").select(F.col("sample_id").cast("string").alias("record_id"), F.col("prediction_raw").alias("answer"), F.col("update_snippet").alias("snippet"), F.col("original_code").alias("original"), "language", F.when(F.trim(F.coalesce("original_code", F.lit(""))) == "", F.col("ground_truth")).alias("whole"))
+    j = table(spark, sf_dir, "judged_samples").select(F.col("custom_id").alias("record_id"), F.col("final_code").alias("answer"), F.col("update_snippet").alias("snippet"), F.col("original_code").alias("original"), "language", F.lit(None).cast("string").alias("whole"))
     out = [judge(spread(d), both).select(F.lit(name).alias("source_table"), "record_id", "defects") for d, name, both in ((a, "apply_samples", False), (j, "judged_samples", True))]
     return out[0].union(out[1])
 
