@@ -51,14 +51,14 @@ def json_equal(a: str, b: str) -> bool:
 def yaml_equal(a: str, b: str) -> bool:
     """Equality of all documents; a value that can't be made (an impossible date) compares as text."""
     if yaml is None:
-        return T_text(a) == T_text(b)
+        return _text_form(a) == _text_form(b)
     try:
         return list(yaml.safe_load_all(a)) == list(yaml.safe_load_all(b))
     except (yaml.YAMLError, ValueError, TypeError):
         return _bare_equal(a, b)
 
 
-def T_text(s: str) -> str:
+def _text_form(s: str) -> str:
     return re.sub(r"[ \t]+(?=\n|\Z)", "", s).rstrip("\n")
 
 
