@@ -54,10 +54,19 @@ def test_token_batches(spark, sizes):
     assert got == sorted(want, key=str)
 
 
-def test_token_batches_in_stretches(spark):
-    df = spark.createDataFrame([("g", i, 4) for i in range(10)], "g string, i long, n long")
-    got = batching.token_batches(df, "g", "i", "n", 10, rows=4).orderBy("i").collect()
-    assert [r.batch for r in got] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+def test_token_batches_in_ranges(spark):
+    df = spark.createDataFrame([("g", i, 4) for i in range(40)], "g string, i long, n long")
+    got = [r.batch for r in batching.token_batches(df, "g", "i", "n", 10, rows=10).orderBy("i").collect()]
+    assert got[0] == 1 and all(b - a in (0, 1) for a, b in zip(got, got[1:])) and max(Counter(got).values()) == 2
+
+
+def test_ranks(spark):
+    df = spark.createDataFrame([(None if i % 9 == 0 else "a" if i % 3 else "b", i) for i in range(300)], "g string, id long")
+    got = sampling.ranked(df, "g", "id").collect()
+    for g in (None, "a", "b"):
+        own = [r for r in got if r.g == g]
+        assert sorted(r._rank for r in own) == list(range(1, len(own) + 1))
+    assert len(got) == 300
 
 
 def test_intervals(spark):

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 LIMIT, ROWS = 90_000, 1_000_000
 
 
@@ -23,12 +25,14 @@ def token_batches(df: DataFrame, group: str, order: str, tokens: str, limit: int
     """``batch``, from 1: rows in order share a batch until the next one would pass ``limit``.
 
     A row above the limit has a batch of its own. Packing depends on all rows
-    before, so a group is folded in one task, on ids and counts only, and cut
-    into stretches of ``rows`` rows, each packed by itself; batches are numbered
-    on across stretches. With up to ``rows`` rows a group is packed as one.
+    before, so rows are folded in order, on ids and counts only. Tables above
+    ``rows`` rows are cut into ranges of about that many rows in order of group and
+    id, so no task gets more; a group that spans ranges starts a new batch with
+    each, and batches are numbered on. Up to ``rows`` rows all is packed as one.
     """
-    stretch = F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / rows)
-    slim = df.select(group, order, F.col(tokens).alias("tokens")).withColumn("stretch", stretch)
+    slim = df.select(group, order, F.col(tokens).alias("tokens"))
+    ranges = max(1, -(-slim.count() // rows))
+    slim = slim.withColumn("stretch", F.lit(0)) if ranges == 1 else cut(slim.repartitionByRange(ranges, group, order).withColumn("stretch", F.spark_partition_id()))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")
@@ -41,7 +45,7 @@ def token_batches(df: DataFrame, group: str, order: str, tokens: str, limit: int
         return part.assign(batch=out)[[group, order, "tokens", "stretch", "batch"]]
 
     kind = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    packed = slim.groupBy(group, "stretch").applyInPandas(fold, f"{group} {kind[group]}, {order} {kind[order]}, tokens {kind['tokens']}, stretch long, batch long")
+    packed = slim.groupBy(group, "stretch").applyInPandas(fold, f"{group} {kind[group]}, {order} {kind[order]}, tokens {kind['tokens']}, stretch int, batch long")
     before = Window.partitionBy(group).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     shift = packed.groupBy(group, "stretch").agg(F.max("batch").alias("_n")).select(group, "stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     return packed.join(F.broadcast(shift), [group, "stretch"]).select(group, order, "tokens", (F.col("batch") + F.col("_shift")).alias("batch"))
@@ -49,6 +53,7 @@ def token_batches(df: DataFrame, group: str, order: str, tokens: str, limit: int
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Intervals that overlap or touch become one, per key (gaps and islands)."""
+    df = df.select(key, start, end).distinct()  # repeated intervals of a hot key end here
     order = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = df.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
