@@ -178,6 +178,7 @@ def declared(files: DataFrame, attributes: DataFrame) -> DataFrame:
 
     folder = F.regexp_replace("path", r"[^/]*$", "")
     per = attributes.where(F.col("text").isNotNull()).select("repo", folder.alias("folder"), F.explode(rules("text")).alias("r")).select("repo", "folder", "r.*").distinct()
+    per = stored(per, "rules")  # its size, known now, picks the join
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(steps, 1, F.greatest(k, F.lit(1))), "/"), F.lit("/"))))
     placed = files.where(F.col("path").isNotNull() & F.col("repo").isNotNull()).withColumn("path", F.regexp_replace("path", r"^/+", ""))
@@ -204,7 +205,7 @@ def not_by_hand(df: DataFrame, key: str = "sample_id") -> DataFrame:
     marks = declared(rows.select("id", "repo", "path"), files)
     rows = rows.join(marks, "id", "left")
     proven = F.coalesce("marked", F.col("says").isNotNull())
-    patterns = mined(rows.select("features", "repo", proven.alias("proven")))
+    patterns = stored(mined(rows.select("features", "repo", proven.alias("proven"))), "patterns")
     matched = rows.select("id", F.explode("features").alias("feature")).join(patterns, "feature").select("id").distinct().withColumn("mined", F.lit(True))
     # attribute files cover their own repository; the rest of the evidence stands where they are silent
     reason = (
