@@ -13,7 +13,7 @@ from ..functions import diffs as D
 from ..functions import patches as P
 from ..functions import text as T
 from ..operators import classify as C
-from ..runtime import spread, table
+from ..runtime import spread, stored, table
 from . import sql as S
 
 
@@ -83,6 +83,8 @@ def classify_errors(spark, d):
     df = _apply(spark, d, "original_code", "ground_truth", "prediction_raw", "language").withColumn("p", T.wrapper_parse("prediction_raw")["content"])
     scored = E.score(df, "prediction_raw", "ground_truth", "language").where(F.col("score") < 1)
     gated = scored.withColumn("invalid", (F.size(C.gate("prediction_raw")) > 0) | ~_parses("p", T.language("language")))
+    # both branches below read the wrong rows: they are scored once
+    gated = stored(gated.select("sample_id", "invalid", "original_code", "ground_truth", "p"), "wrong")
     bad = gated.where("invalid").select("sample_id", F.lit("OUTPUT_INVALID").alias("error_type"), F.lit(1.0).alias("confidence"))
     f = gated.where(~F.col("invalid")).select("sample_id", (T.newlines("original_code") != T.newlines("ground_truth")).alias("expected"), D.diff_features("original_code", "ground_truth", "p").alias("f"))
     cols = {c: F.col(f"f.{c}") for c in ("no_op_score", "patch_match_score", "actual_edit_count", "side_effect_opcode_count")} | {c: F.size(f"f.{c}") for c in ("missing", "misplaced")}
