@@ -62,6 +62,18 @@ def test_miss_probability():
     assert len(nodes) == 2  # a set of one token always walks on
 
 
+def test_pairs_of_large_buckets(spark):
+    assert all(p6.missed(0.7) + p6.missed(0.7, runs=p6.runs_for(d), depth=d) < 1.001 * p6.LOST for d in (5, 7))
+    assert p6.runs_for(3) == p6.RUNS
+    # pairs at the threshold itself, all in buckets that are split to the last level
+    texts = [" ".join(f"p{i}w{k}" for k in range(n)) for i in range(1500) for n in (102, 72)]
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, t string").repartition(4)
+    records = p6.sets(df, "sample_id", F.col("t"), p6.RUNS, p6.DEPTH, p6.SIMILARITY).cache()
+    got = {(r.id_a, r.id_b) for r in p6.similar_rows(records.select("id", "cls"), p6.similar_classes(records, small=1)).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(1500)} and len(got) >= 1499
+    records.unpersist()
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "sample_id long, t string")
     records = p6.sets(df, "sample_id", F.col("t"), 4, 2, 0.7)

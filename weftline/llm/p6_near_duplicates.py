@@ -12,6 +12,10 @@ then checked exactly. With similarity s of the larger set shared, one run
 misses a pair with the probability that a branching process of mean
 ``s / similarity`` dies out within ``depth`` levels; over ``runs`` runs that is
 below 1e-4 at the threshold itself (``missed`` computes it) and falls fast above it.
+A pair in a large bucket has to meet on deeper levels, which one run misses more
+often: classes that lie in any large bucket get further runs until their pairs are
+lost with no more than ``LOST`` less the chance of the first runs, reckoned at the
+deepest level that was reached (``runs_for``).
 
 Defined results: a null field counts as an empty text; texts of fewer than
 three words match nothing; repeated rows match with similarity 1; an empty
@@ -33,6 +37,7 @@ from .contraction import components
 from .shingles import mix, shingles, signature
 
 SIMILARITY, RUNS, DEPTH, DEEPEST, SMALL = 0.7, 20, 3, 7, 64
+LOST = 1e-4  # greatest chance to miss a pair at the threshold, whatever the size of its buckets
 
 
 def missed(shared: float, similarity: float = SIMILARITY, runs: int = RUNS, depth: int = DEPTH) -> float:
@@ -43,6 +48,23 @@ def missed(shared: float, similarity: float = SIMILARITY, runs: int = RUNS, dept
     return q**runs
 
 
+def runs_for(level: int, runs: int = RUNS, depth: int = DEPTH) -> int:
+    """The runs that a pair at the threshold needs if it must meet ``level`` levels deep.
+
+    Its chance to be missed in them and the chance never to share a bucket in
+    ``runs`` runs of ``depth`` add up to ``LOST``; too few ``runs`` for that may
+    at most be doubled in their chance.
+    """
+    first = missed(1.0, 1.0, runs, depth)
+    left = LOST - first if first < LOST else first
+    return runs if level <= depth else max(runs, math.ceil(math.log(left) / math.log(missed(1.0, 1.0, 1, level))))
+
+
+def roots(first: int, last: int) -> np.ndarray:
+    """The roots of the runs from ``first`` to before ``last``."""
+    return mix(np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def walk(nodes: np.ndarray, tokens: np.ndarray, levels: int, similarity: float) -> np.ndarray:
     """The nodes that a set reaches ``levels`` below ``nodes``."""
     bound = np.uint64(min(2**64 - 1, int(2**64 / (similarity * max(1, len(tokens))))))
@@ -70,7 +92,7 @@ def sets(df: DataFrame, key: str, text: Column, runs: int, depth: int, similarit
     Rows of too few words are left out. A task gives the arrays of a class only
     with the first row that it sees of it, so copies add no more than their ids.
     """
-    roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    top = roots(0, runs)
     none32, none64 = np.empty(0, np.int32), np.empty(0, np.int64)
 
     def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -94,7 +116,7 @@ def sets(df: DataFrame, key: str, text: Column, runs: int, depth: int, similarit
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(cls)
-                    rows.append((i, cls, len(s), s.view(np.int32), walk(roots, s, depth, similarity).astype(np.int64), *map(int, sketch(s))))
+                    rows.append((i, cls, len(s), s.view(np.int32), walk(top, s, depth, similarity).astype(np.int64), *map(int, sketch(s))))
                 c = list(zip(*rows)) if rows else [()] * 7
                 arrays = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), lists(c[3], pa.int32()), lists(c[4], pa.int64()), pa.array(c[5], pa.int64()), pa.array(c[6], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "cls", "n", "tokens", "nodes", "s1", "s2"])
@@ -120,6 +142,23 @@ def deeper(at: DataFrame, tokens: DataFrame, levels: int, similarity: float) ->
     return at.join(tokens, "cls").select("node", "cls", "tokens").mapInArrow(run, "node long, cls long")
 
 
+def again(tokens: DataFrame, first: int, last: int, depth: int, similarity: float) -> DataFrame:
+    """``node`` and ``cls`` of the runs from ``first`` to before ``last`` of the sets ``tokens`` (cls, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = roots(first, last)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                cls, toks = part.column(0).to_numpy(), part.column(1)
+                ends, flat = toks.offsets.to_numpy(), toks.values.to_numpy().view(np.uint32)
+                own = [walk(top, flat[ends[i] : ends[i + 1]], depth, similarity) for i in range(part.num_rows)]
+                nodes = np.concatenate(own).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.repeat(cls, [len(x) for x in own]), pa.int64())], ["node", "cls"])
+
+    return spread(tokens.select("cls", "tokens")).mapInArrow(run, "node long, cls long")
+
+
 def shared_buckets(at: DataFrame) -> DataFrame:
     """``node``, ``cls`` and ``size`` of the buckets with at least two classes; one shuffle."""
     rows = at.repartition("node").distinct()
@@ -133,8 +172,11 @@ def meetings(at: DataFrame) -> DataFrame:
     return a.join(b, "node").where(F.col("a") < F.col("b")).select("a", "b")
 
 
-def similar_classes(records: DataFrame, similarity: float = SIMILARITY, depth: int = DEPTH, deepest: int = DEEPEST, small: int = SMALL) -> DataFrame:
-    """``a``, ``b``, ``similarity`` of each pair of different classes of ``records`` (stored :func:`sets`).
+def similar_classes(records: DataFrame, similarity: float = SIMILARITY, depth: int = DEPTH, deepest: int = DEEPEST, small: int = SMALL, runs: int = RUNS) -> DataFrame:
+    """``a``, ``b``, ``similarity`` of each pair of different classes of ``records`` (stored :func:`sets` of ``runs`` runs).
+
+    Classes that lie in any bucket of more than ``small`` walk again from
+    further roots, as often as the deepest level reached demands.
 
     Before the exact check, pairs that agree in fewer than ``low`` of the 128
     bits of their sketches, or whose sizes don't allow the similarity, are
@@ -142,16 +184,24 @@ def similar_classes(records: DataFrame, similarity: float = SIMILARITY, depth: i
     """
     tokens = records.where(F.size("tokens") > 0).select("cls", "tokens")
     at = stored(shared_buckets(records.select(F.explode("nodes").alias("node"), "cls")), "buckets")
-    found = []
+    found, hot, reached, done = [], None, depth, runs
     while True:
-        if depth >= deepest or not at.where(F.col("size") > small).take(1):
-            found.append(meetings(at))
+        level = depth
+        while level < deepest and at.where(F.col("size") > small).take(1):
+            found.append(meetings(at.where(F.col("size") <= small)))
+            large = stored(at.where(F.col("size") > small).select("node", "cls"), "large")  # its size, known now, picks the join
+            if hot is None:
+                one = tokens.join(large.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+                hot = stored(one, "hot")
+            at = stored(shared_buckets(deeper(large, hot, 2, similarity)), "buckets")
+            level += 2
+        found.append(meetings(at))
+        reached = max(reached, level)
+        wanted = runs_for(reached, runs, depth)
+        if wanted <= done:
             break
-        found.append(meetings(at.where(F.col("size") <= small)))
-        large = stored(at.where(F.col("size") > small).select("node", "cls"), "large")  # its size, known now, picks the join
-        one = tokens.join(large.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
-        at = stored(shared_buckets(deeper(large, one, 2, similarity)), "buckets")
-        depth += 2
+        at = stored(shared_buckets(again(hot, done, wanted, depth, similarity)), "buckets")
+        done = wanted
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
