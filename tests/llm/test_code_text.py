@@ -80,6 +80,18 @@ def test_text_evidence(text, language, says):
     assert p1.text_evidence(text, language) == says
 
 
+def test_data_on_long_lines():
+    rng = random.Random(3)
+    numbers, strings = ", ".join(f"0x{rng.randrange(256):02x}" for _ in range(900)), ", ".join(f'"w {i}"' for i in range(900))
+    blob = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=3000))
+    wrapped = "\n".join(blob[i : i + 76] for i in range(0, 3000, 76))
+    tables = [f"T = [\n{numbers}\n]\n", f"T = [{numbers}]\n", f"const t = [{strings}];\n", "int a;\n" * 12 + f"  {numbers},\n", f'B = "{blob}"\n', f'B = """\n{wrapped}\n"""\n', f'x = "data:image/png;base64,{blob}"\n']
+    assert [p1.text_evidence(t, "python") for t in tables] == ["data"] * len(tables)
+    assert [p1.text_evidence(t, "python") for t in (PY * 30 + f"T = [{numbers[:300]}]\n", 'print("' + "some words " * 400 + '")\n', "f(1, 2, 3)\n" * 11)] == [None] * 3
+    for hard in ("\\\"" * 100_000, "1," * 300_000 + "x", "'" * 100_001, "1 " * 300_000 + "(" * 100_000 + "x", '"' + "a" * 400_000):
+        p1.literal_data(hard, hard.split("\n"))  # linear: seconds at most
+
+
 @pytest.mark.parametrize("path, hit", [("a/vendor/x.py", True), ("a/vendors/x.py", False), ("x/a_pb2.py", True), ("a_min.c", False), ("a.min.js", True), ("third_party_auth/x.c", False), ("b/package-lock.json", True), (None, False), ("", False), ("moc_x.cpp", True), ("src/generator/x.go", False)])
 def test_conventions(path, hit):
     assert p1.by_convention(path) == hit

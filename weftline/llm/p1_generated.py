@@ -3,8 +3,9 @@
 Three kinds of evidence, strongest first. (1) Attribute files
 (``.gitattributes``) declare generated and vendored paths; the rule of the
 deepest directory wins, and in one file the last. (2) The text: comments that
-say a tool made the file or where it was copied from, minified layout, or a
-table of literals. (3) The path: public conventions, and patterns mined from
+say a tool made the file or where it was copied from, minified layout, or
+literals that fill half of it: a table, however its lines are laid out, or long
+encoded texts. (3) The path: public conventions, and patterns mined from
 the files that (1) and (2) prove, applied to repositories that declare
 nothing: a directory name or a prefix or suffix of file names of which at
 least ``SHARE`` are proven, ``SUPPORT`` of them in several repositories.
@@ -30,6 +31,7 @@ from .languages import DATA, language_of
 from .p3_splits import filled, repo_name
 
 SHARE, SUPPORT, REPOS = 0.2, 4, 3
+ROW, BLOB = 12, 400  # least literals of a table without lines of its own, least characters of an encoded literal
 
 #: Public conventions for directories of generated or third-party code.
 DIRECTORIES = (
@@ -52,9 +54,26 @@ _DENIED = re.compile(r"(?i)\b(?:not|never|isn't|no longer|without) (?:auto-?|aut
 _COMMENT = re.compile(r"^\s*(?://|#(?!\s*(?:define|include|if|else|pragma|error|warning)\b)|--|/\*|\*|<!--|;|\"\"\"|'''|\"[$_]?(?:notice|comment|generated(?:[_-]?by)?|warning|header|//)\"\s*:)")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`")
 _LOCK = re.compile(r'"(?:lockfileVersion|integrity)"\s*:\s*(?:\d|"sha\d+-)')
-_LITERALS = re.compile(
-    r"""^\s*[\[{(]*\s*(?:(?:[-+]?(?:0[xX][0-9a-fA-F_]+|\d[\d._]*(?:[eE][-+]?\d+)?)[uUlLfF]*(?:i\d+|u\d+|f\d+)?|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)\s*[\])}]*\s*(?:,|;|$)\s*[\[{(]*\s*)+[\])},;]*\s*$"""
+_LITERAL = r"""(?:[-+]?(?:0[xX][0-9a-fA-F_]++|\d[\d._]*+(?:[eE][-+]?\d++)?+)(?:[iuf]\d++|[uUlLfF]*+(?:[iuf]\d++)?+)|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)"""
+#: A line of literals alone. Nothing is given back (possessive), so lines of any length take linear time.
+_LITERALS = re.compile(rf"\s*+[\[{{(]*+\s*+(?:{_LITERAL}\s*+[\])}}]*+\s*+(?:[,;]|$)\s*+[\[{{(]*+\s*+)++[\])}},;]*+\s*+$")
+#: A run of at least ``ROW`` literals wherever it stands; the other alternatives pass over strings, numbers and words whole.
+_RUN = re.compile(
+    rf"""(?P<run>(?:{_LITERAL}(?=[\s,;\])}}]|\Z)[\s,;\[\](){{}}]*+){{{ROW},}}+)|"(?:[^"\\\n]|\\.)*+"?+|'(?:[^'\\\n]|\\.)*+'?+|`[^`\n]*+`?+|(?:[^\W\d]\w*+|[^\w"'`+-])++|\d\w*+|[\s\S]"""
 )
+#: The inside of one literal in base64, hex or escaped bytes, also over several lines, with or without a data URI before it.
+_BYTES = r"(?:[A-Za-z0-9+/_=-]|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{1,3})"
+_ENCODED = re.compile(rf"""(["'`])(?:\1\1)?+\s*+(?:data:[\w/+.;=-]++,)?+((?:{_BYTES}{{32,}}+(?:\\?\r?\n[ \t]*+)?+)++{_BYTES}*+)\s*+\1""")
+
+
+def literal_data(text: str, lines: list[str]) -> bool:
+    """Whether at least half of the text are literals: lines of nothing else, runs of them, or single encoded ones."""
+    half = 0.5 * len(text)
+    if len(lines) >= 12 and sum(len(x) for x in lines if _LITERALS.match(x)) >= half:
+        return True
+    if sum(len(m[0]) for m in _ENCODED.finditer(text) if len(m[2]) >= BLOB and len(set(m[2])) >= 8) >= half:
+        return True
+    return sum(len(m[0]) for m in _RUN.finditer(text) if m["run"]) >= half
 
 
 def text_evidence(text: str | None, language: str | None) -> str | None:
@@ -82,11 +101,7 @@ def text_evidence(text: str | None, language: str | None) -> str | None:
         dense = sum(map(len, code))
         if dense >= 0.3 * len(text) and sum(x.count(" ") for x in code) < 0.12 * dense:
             return "minified"
-    if language not in DATA and len(lines) >= 12:
-        listed = sum(len(x) for x in lines if len(x) < 2000 and _LITERALS.match(x))
-        if listed >= 0.5 * len(text):
-            return "data"
-    return None
+    return "data" if language not in DATA and literal_data(text, lines) else None
 
 
 def path_features(path: str | None) -> list[str]:
