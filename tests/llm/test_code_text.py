@@ -130,6 +130,16 @@ def test_defects():
     assert p2.defects("a", " ", "b", "c", True) == ["empty"]
 
 
+def test_all_defects():
+    d = lambda answer, snippet="x", original=JS * 4: p2.defects(answer, snippet, original, "javascript", False)
+    assert d(JS.split("}")[0], JS.split("}")[0]) == ["copy", "truncated"]
+    assert d("// Sorry, I can't help with that file.") == ["refusal", "truncated"]
+    assert d(PY + "def g(") == ["other_language", "truncated"]
+    assert d("return f(a,\n", "return f(a,", None) == ["copy", "truncated"]  # without an original the open end tells
+    assert d(JS * 4) == ["copy"] and d(PY.replace("\n", "\n\n") * 9, original=None)[-1] == "other_language"
+
+
+
 def test_pairs_table(spark):
     rows = [("1", None, "s", JS, "js", None), ("2", JS + "// more\n", None, None, None, None), ("2", JS + "// more\n", None, None, None, None), ("3", JS[:60], None, None, "js", JS), ("4", JS, None, " ", "js", JS)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "record_id string, answer string, snippet string, original string, language string, whole string, defects int")

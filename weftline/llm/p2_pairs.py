@@ -191,7 +191,7 @@ def defects(answer: str | None, snippet: str | None, original: str | None, langu
     if other_language(answer, language_of(language), original):
         out.append("other_language")
     measure = whole if is_empty(original) else original
-    if not out and (truncated(answer, measure, snippet) or is_empty(measure) and breaks_off(answer)):
+    if truncated(answer, measure, snippet) or is_empty(measure) and breaks_off(answer):
         out.append("truncated")
     return out
 
@@ -221,7 +221,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs per table and defect, counting every rule that fired."""
+    """Pairs per table and defect, counting every rule that fired; a refusal or a snippet sent back is also cut where it lacks the end of the file."""
     return pairs(spark, sf_dir).select("source_table", F.explode("defects").alias("defect")).groupBy("source_table", "defect").agg(F.count(F.lit(1)).alias("pairs"))
 
 
