@@ -60,6 +60,22 @@ def test_token_batches_in_ranges(spark):
     assert got[0] == 1 and all(b - a in (0, 1) for a, b in zip(got, got[1:])) and max(Counter(got).values()) == 2
 
 
+def test_token_batches_are_the_same_in_ranges(spark):
+    rng = random.Random(8)
+    data = [(g, i, rng.choice([0, 0, 1, 2, 3, 4, 9, 10, 11, 25, 0])) for g, n in (("a", 150), ("b", 3), ("c", 80), (None, 40)) for i in range(n)] + [("d", i, 0) for i in range(20)] + [("e", i, 1) for i in range(60)]
+    want = []
+    for g in ("a", "b", "c", None, "d", "e"):
+        batch, used = 1, 0
+        for _, i, n in (r for r in data if r[0] == g):
+            if used and used + n > 10:
+                batch, used = batch + 1, 0
+            used += n
+            want.append((g, i, n, batch))
+    df = spark.createDataFrame(data, "g string, i long, n long").repartition(3)
+    for least in (7, 50, 1_000_000):
+        assert rows(batching.token_batches(df, "g", "i", "n", 10, rows=least)) == sorted(want, key=str)
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([(None if i % 9 == 0 else "a" if i % 3 else "b", i) for i in range(300)], "g string, id long")
     got = sampling.ranked(df, "g", "id").collect()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,28 +30,73 @@ def token_batches(df: DataFrame, group: str, order: str, tokens: str, limit: int
     A row above the limit has a batch of its own. Packing depends on all rows
     before, so rows are folded in order, on ids and counts only. Tables above
     ``rows`` rows are cut into ranges of about that many rows in order of group and
-    id, so no task gets more; a group that spans ranges starts a new batch with
-    each, and batches are numbered on. Up to ``rows`` rows all is packed as one.
+    id, so no task gets more. Each range first tells its outcome for any fill of
+    the batch that is open at its start (:func:`outcome`), the ranges of a group
+    are chained, and then each is folded from its true start: batches are the
+    same at every size and wherever the ranges begin. Null counts weigh nothing.
     """
     slim = df.select(group, order, F.col(tokens).alias("tokens"))
+    kind = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     ranges = max(1, -(-slim.count() // rows))
-    slim = slim.withColumn("stretch", F.lit(0)) if ranges == 1 else cut(slim.repartitionByRange(ranges, group, order).withColumn("stretch", F.spark_partition_id()))
+    if ranges == 1:
+        slim = slim.withColumn("stretch", F.lit(0)).withColumn("_fill", F.lit(0).cast("long")).withColumn("_open", F.lit(1).cast("long"))
+    else:
+        slim = cut(slim.repartitionByRange(ranges, group, order).withColumn("stretch", F.spark_partition_id()))
+
+        def tell(part: pd.DataFrame) -> pd.DataFrame:
+            told = outcome(part.sort_values(order, kind="stable").tokens.fillna(0).to_numpy(np.int64), limit)
+            return part[[group, "stretch"]].head(1).assign(**{k: [v] for k, v in told.items()})
+
+        def chain(told: pd.DataFrame) -> pd.DataFrame:
+            told = told.sort_values("stretch")
+            fill, opened, out = 0, 1, []
+            for r in told.itertuples(index=False):
+                out.append((fill, opened))
+                at = bisect.bisect_right(r.ends, limit - fill)
+                if fill == 0:
+                    fill, opened = r.fresh_fill, opened + r.fresh
+                elif at == len(r.ends):
+                    fill += r.total
+                else:
+                    fill, opened = r.fills[at], opened + r.batches[at]
+            return told[[group, "stretch"]].assign(_fill=[f for f, _ in out], _open=[n for _, n in out])
+
+        told = slim.groupBy(group, "stretch").applyInPandas(tell, f"{group} {kind[group]}, stretch int, ends array<long>, batches array<long>, fills array<long>, total long, fresh long, fresh_fill long")
+        starts = told.groupBy(group).applyInPandas(chain, f"{group} {kind[group]}, stretch int, _fill long, _open long").withColumnRenamed(group, "_group").withColumnRenamed("stretch", "_stretch")
+        slim = slim.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("stretch") == F.col("_stretch"))).drop("_group", "_stretch")
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")
-        batch, used, out = 1, 0, []
-        for n in part.tokens:
+        batch, used, out = int(part._open.iloc[0]), int(part._fill.iloc[0]), []
+        for n in part.tokens.fillna(0):
             if used and used + n > limit:
                 batch, used = batch + 1, 0
             used += n
             out.append(batch)
-        return part.assign(batch=out)[[group, order, "tokens", "stretch", "batch"]]
+        return part.assign(batch=out)[[group, order, "tokens", "batch"]]
 
-    kind = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    packed = slim.groupBy(group, "stretch").applyInPandas(fold, f"{group} {kind[group]}, {order} {kind[order]}, tokens {kind['tokens']}, stretch int, batch long")
-    before = Window.partitionBy(group).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    shift = packed.groupBy(group, "stretch").agg(F.max("batch").alias("_n")).select(group, "stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    return packed.join(F.broadcast(shift), [group, "stretch"]).select(group, order, "tokens", (F.col("batch") + F.col("_shift")).alias("batch"))
+    return slim.groupBy(group, "stretch").applyInPandas(fold, f"{group} {kind[group]}, {order} {kind[order]}, tokens {kind['tokens']}, batch long")
+
+
+def outcome(tokens: np.ndarray, limit: int) -> dict:
+    """What a range of rows does to the batch that is open before it.
+
+    The first row that doesn't fit opens a batch, and all behind it follows from
+    that row alone. Row k of ``ends`` (sums up to a row that can be the first) is
+    taken if its sum is the first above ``limit`` less the fill; ``batches`` are
+    then opened and the last is left with ``fills``. Without such a row ``total`` is
+    added. ``fresh`` and ``fresh_fill`` hold for an open batch of no tokens.
+    """
+    n, sums = len(tokens), np.concatenate([[0], np.cumsum(tokens)])
+    # the next batch opens where the sum passes the limit, but never before this one has a token
+    after = np.minimum(n, np.maximum(np.searchsorted(sums, sums[:-1] + limit, "right") - 1, np.searchsorted(sums, sums[:-1], "right"))).tolist()
+    batches, fills, total = [0] * (n + 1), [0] * (n + 1), int(sums[-1])
+    for p in range(n - 1, -1, -1):
+        q = after[p]
+        batches[p], fills[p] = batches[q] + 1, total - int(sums[p]) if q == n else fills[q]
+    last = min(n - 1, int(np.searchsorted(sums[1:], limit - 1, "right")))
+    firsts = [p for p in range(last + 1) if p == 0 or tokens[p] > 0]
+    return {"ends": [int(sums[p + 1]) for p in firsts], "batches": [batches[p] for p in firsts], "fills": [fills[p] for p in firsts], "total": total, "fresh": batches[0] - 1, "fresh_fill": fills[0]}
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
