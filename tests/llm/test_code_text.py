@@ -206,5 +206,16 @@ def test_levels(spark):
     measured.unpersist()
 
 
+def test_overruled_grades(spark):
+    # grades turned round: the trees learn them, the definition overrules all but the middle
+    texts = ["We run the old job now. You can see the log! " * 5, "The server validates the default parser before every release and logs the result of the last run. " * 3, "Heterogeneous canonicalization necessitates interdependent parameterization " * 6 + "."]
+    measured = p10.features(spark.createDataFrame(list(enumerate(texts * 12)), "doc_id long, text string")).cache()
+    labels = spark.createDataFrame([(i, "g", 3 - i % 3) for i in range(30)], "doc_id long, grader string, grade int")
+    model = p10.train(measured, labels, spark.createDataFrame([(i, f"s{i % 7}") for i in range(36)], "id long, source string"))
+    got = sorted(map(tuple, p10.overruled(p10.levels(measured, model)).collect()))
+    assert got == [("easy", "hard", 12, True), ("hard", "easy", 12, True), ("medium", "medium", 12, False)]
+    measured.unpersist()
+
+
 def test_names():
     assert language_of(" CPlusPlus ") == "c++" and language_of("") is None and language_of(None) is None and language_of("Cobol") == "cobol"

@@ -4,10 +4,11 @@ Each document gets distributions of length, vocabulary, syntax and cohesion
 (``FEATURES``). Boosted regression trees, trained on the graded documents
 (at most ``LABELLED`` of them, a documented bound), predict a grade from 1 to
 3; folds that keep a source together give the predictions that calibrate it
-(isotonic) and its measured error. The level of a document is that of its
-calibrated grade, and an exact check of the two definitional means (words per
-sentence, letters per word) then settles the documents that the trees put on
-the wrong side of a bound.
+(isotonic) and its measured error. The levels are defined exactly by two means
+(words per sentence, letters per word), so this definition alone decides
+``level`` on every document, a departure from the method; the level of the calibrated
+grade stands beside it as ``graded_level``, and ``p10_overruled`` counts how often
+the two differ.
 
 Defined results: only ``lang`` = en, not source files, at least 30 words and
 one sentence end (fenced code taken out); other documents, null and empty
@@ -140,7 +141,7 @@ def definition(x: Column) -> Column:
 
 
 def levels(measured: DataFrame, model: Model) -> DataFrame:
-    """``id``, ``grade`` (calibrated), ``graded_level`` (by the grade) and ``level`` (after the exact check)."""
+    """``id``, ``grade`` (calibrated), ``graded_level`` (by the grade) and ``level`` (by the definition, whatever the grade)."""
     held = measured.sparkSession.sparkContext.broadcast(model)  # bounded: trees and at most LABELLED knots
 
     @F.pandas_udf("double")
@@ -177,6 +178,16 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.join(docs, "id").groupBy("source", "kind").agg(F.count(F.lit(1)).alias("docs"), n("easy"), n("medium"), n("hard"), F.round(F.avg("grade"), 3).alias("mean_grade"))
 
 
+def overruled(graded: DataFrame) -> DataFrame:
+    """Documents per level of the grade and level of the definition; where they differ, the definition overruled the trees."""
+    return graded.groupBy("graded_level", "level").agg(F.count(F.lit(1)).alias("docs")).withColumn("overruled", ~F.col("graded_level").eqNullSafe(F.col("level")))
+
+
+def p10_overruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the definition overrules the level of the grade."""
+    return overruled(_levels(spark, sf_dir)[0])
+
+
 def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out error per fold of sources: mean absolute error and share of the right grade."""
     measured, labels, docs = _measured(spark, sf_dir)
@@ -185,4 +196,4 @@ def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "fold int, documents int, mean_error double, right double")
 
 
-QUERIES = {"p10_found": (p10_found, None), "p10_profile": (p10_profile, None), "p10_validation": (p10_validation, None)}
+QUERIES = {"p10_found": (p10_found, None), "p10_profile": (p10_profile, None), "p10_overruled": (p10_overruled, None), "p10_validation": (p10_validation, None)}
