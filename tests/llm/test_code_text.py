@@ -217,5 +217,12 @@ def test_overruled_grades(spark):
     measured.unpersist()
 
 
+def test_values_of_all_rows(spark):
+    # the least hash is one row's only; the model of ordinary values knows both fields of the others too
+    df = spark.createDataFrame([(i, "a.py", f'name = "{v}"\n', f'other = "{w}"\n') for i, (v, w) in enumerate([("zqzqzqzq", "jxjxjxjx"), ("vkvkvkvk", "wbwbwbwb"), ("ydydydyd", "hghghghg")])], "sample_id long, path string, original_code string, ground_truth string")
+    bits = p7.train(df, sample=1).markov.bits
+    assert {("z", "q"), ("j", "x"), ("v", "k"), ("w", "b"), ("y", "d"), ("h", "g")} <= set(bits)
+
+
 def test_names():
     assert language_of(" CPlusPlus ") == "c++" and language_of("") is None and language_of(None) is None and language_of("Cobol") == "cobol"

@@ -2,7 +2,7 @@
 
 Lines that name a credential or hold something shaped like one give candidate
 values. Each is described by the likelihood of its characters under a Markov
-model of ordinary values in the corpus, the identifiers before it on the line,
+model of ordinary values (below 400 characters) in all rows, the identifiers before it on the line,
 its shape and the path (``FEATURES``). A logistic regression is trained on
 weak labels, which patterns give to the clear cases of at most ``SAMPLE``
 rows; its calibrated score decides about every candidate of every row.
@@ -226,21 +226,21 @@ def redact(text: str, found: list[tuple[int, int, int]]) -> str:
 
 
 def train(df: DataFrame, key: str = "sample_id", sample: int = SAMPLE) -> Detector:
-    """Train on the ``sample`` rows whose hash of ``key`` is least."""
+    """Train on the ``sample`` rows whose hash of ``key`` is least; pairs of characters are counted in all rows."""
     ids = df.select(key).orderBy(F.xxhash64(key), key).limit(sample)
     some = df.join(F.broadcast(ids.distinct()), key).select("path", *FIELDS)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(1).to_pylist():
+            for text in (t for column in batch.columns for t in column.to_pylist()):
                 for m in _VALUE.finditer(text or ""):
                     v = m.group("s") or m.group("u") or m.group("x")
                     counts.update(zip(v, v[1:])) if len(v) < 400 else None
         items = [(a + b, n) for (a, b), n in counts.items() if 32 <= ord(a) < 127 and 32 <= ord(b) < 127]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], ["p", "n"])
 
-    counted = some.mapInArrow(pairs, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most 95 * 95
+    counted = df.select(*FIELDS).mapInArrow(pairs, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most 95 * 95
     markov = Markov({(r[0][0], r[0][1]): r[1] for r in counted})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
