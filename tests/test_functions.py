@@ -1,5 +1,7 @@
 """Comparisons, differences and patches, on plain values."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +9,7 @@ from hypothesis import strategies as st
 from weftline.functions import compare as E
 from weftline.functions import diffs as D
 from weftline.functions import patches as P
+from weftline.plans import score_queries
 
 
 @pytest.mark.parametrize(
@@ -109,3 +112,16 @@ def test_line_errors():
     assert D.line_errors("x\ny", "a\nx\nb", "a\nz\nb") == (1, 0)
     assert D.line_errors(None, "a\nb", "a\nb\nc") == (0, 1)
     assert D.line_errors("c", "a\nb", "a\nb\nc") == (1, 0)
+
+
+def test_block_edits():
+    a = [f"line {i}" for i in range(60)]
+    b = [*a[:10], "new", *a[11:40], *a[42:]]
+    edits = score_queries.block_edits("\n".join(a), "\n".join(b))
+    assert [e["oldString"].split("\n") for e in edits] == [a[8:13], a[38:44]]  # two lines around each change, not the file
+    rng = random.Random(6)
+    for _ in range(300):  # repeated and empty lines need wider blocks
+        x = [rng.choice(["", "}", "a", " a"]) for _ in range(rng.randrange(2, 40))]
+        y = [v for v in x if rng.random() > 0.1 for v in ([v, rng.choice(["}", "b", ""])] if rng.random() < 0.1 else [v])]
+        x, y = "\n".join(x), "\n".join(y)
+        assert P.apply_edits(x, {"edits": score_queries.block_edits(x, y) if x != y else []}) == y

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -101,21 +102,30 @@ def dense_score(spark, d):
     return same.union(rest.select("sample_id", F.round(D.dense_score(F.lit(0.0), F.col("e.patch"), F.col("e.side"), F.lit("train")), 6)))
 
 
+def block_edits(a: str, b: str) -> list[dict]:
+    """The edits that turn ``a`` into ``b``, in turn: blocks with two lines of context, more where the block would not be unique."""
+    x, y, out = a.split("\n"), b.split("\n"), []
+    for group in SequenceMatcher(None, x, y).get_grouped_opcodes(2):
+        i, j, stop = group[0][1], group[0][3], group[-1][4]
+        now = y[:j] + x[i:]  # the file after the edits before this one
+        text, end, wider = "\n".join(now), j + group[-1][2] - i, 1
+        before, behind = j, end
+        while (not (old := "\n".join(now[before:behind])) or text.find(old) != text.rfind(old)) and behind - before < len(now):
+            before, behind, wider = max(0, before - wider), min(len(now), behind + wider), 2 * wider
+        out.append({"oldString": old, "newString": "\n".join(now[before:j] + y[j:stop] + now[end:behind]), "replaceAll": False})
+    return out
+
+
 @F.pandas_udf(StringType())
-def _one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The edits between two texts as a patch of whole blocks with two lines of context."""
-    out = []
-    for x, y in zip(a, b):
-        x, y = (x or "").replace("\r\n", "\n").split("\n"), (y or "").replace("\r\n", "\n").split("\n")
-        edits = [{"oldString": "\n".join(x), "newString": "\n".join(y), "replaceAll": False}] if x != y else []
-        out.append(json.dumps({"edits": edits}))
-    return pd.Series(out)
+def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The edits between two texts as a patch."""
+    return pd.Series([json.dumps({"edits": block_edits(x or "", y or "") if x != y else []}) for x, y in zip(a, b)])
 
 
 def sar_apply(spark, d):
     """H1-H3: the truth rebuilt from the original by a search-and-replace patch."""
     df = _apply(spark, d, "original_code", "ground_truth").where(F.col("original_code").isNotNull() & F.col("ground_truth").isNotNull() & (F.col("original_code") != ""))
-    out = df.select("sample_id", "ground_truth", P.sar_apply(T.newlines("original_code"), _one_edit("original_code", "ground_truth")).alias("r"))
+    out = df.select("sample_id", "ground_truth", P.sar_apply(T.newlines("original_code"), _edits(T.newlines("original_code"), T.newlines("ground_truth"))).alias("r"))
     return out.select("sample_id", (T.newlines("ground_truth") == F.col("r.result")).alias("rebuilt"), "r.error")
 
 
