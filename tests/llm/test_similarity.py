@@ -104,6 +104,14 @@ def test_coverage():
     assert list(p5_overlap.scan([], iter([(1, "a b c")]), 0.7)) == []
 
 
+def test_coverage_by_all_training_texts(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, "train", long), (2, "train", "a b c d"), (3, "train", "e f g h"), (4, "test", " ".join(f"w{i}" for i in range(50, 80))), (5, "test", "a b c d e f g h x y"), (6, "test", "no such words here"), (7, "test", "two words")]
+    df = spark.createDataFrame([(i, (s, t), (None,)) for i, s, t in rows], "row_id long, extra_info struct<split:string,original_code:string>, reward_model struct<ground_truth:string>")
+    got = {r.evaluation: r.coverage for r in p5_overlap.row_coverage(p5_overlap.texts(p5_overlap.flat(df))).collect()}
+    assert got == {4: 1.0, 5: 0.8, 6: 0.0}
+
+
 def test_components(spark):
     random.seed(11)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(5, 5), (1, 2), (1, 2)] + [(100, 100 + k) for k in range(1, 9)] + [(300, 300)]

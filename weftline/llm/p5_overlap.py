@@ -173,6 +173,25 @@ def row_overlaps(records: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return overlaps(records, similarity).join(e, ["field", "e"]).join(t, ["field", "t"]).select("evaluation", "training", "field", "similarity", "coverage")
 
 
+def row_coverage(records: DataFrame) -> DataFrame:
+    """``evaluation`` and ``coverage`` of each evaluation row with three words or more in a field: the better field's share of words inside passages of any training text.
+
+    All training texts count, also those of another length or similar to none; passages
+    are distinct before they are shuffled, and repeated texts are one class.
+    """
+    passages = F.expr("transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))")
+    texts_of = lambda own: records.where(own).groupBy("field", "cls").agg(F.split(F.first("words"), " ").alias("w")).withColumn("p", passages)
+    known = texts_of("train").select("field", F.explode(F.array_distinct("p")).alias("passage")).distinct()
+    evaluation = texts_of("not train")
+    at = evaluation.select("field", "cls", F.posexplode("p").alias("at", "passage")).join(known, ["field", "passage"], "left_semi")
+    # merged intervals: each word once
+    inside = at.select("field", "cls", F.explode(F.array(*[F.col("at") + k for k in range(3)])).alias("word")).groupBy("field", "cls").agg(F.countDistinct("word").alias("inside"))
+    share = F.coalesce("inside", F.lit(0)) / F.col("n_words")
+    classes = evaluation.select("field", "cls", F.size("w").alias("n_words")).join(inside, ["field", "cls"], "left").select("field", "cls", share.alias("coverage"))
+    rows = records.where("not train").select(F.col("id").alias("evaluation"), "field", "cls")
+    return rows.join(classes, ["field", "cls"]).groupBy("evaluation").agg(F.max("coverage").alias("coverage"))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "training_rows").select("row_id", "extra_info.split", "extra_info.original_code", "reward_model.ground_truth")
     df = spread(df).select("row_id", F.struct("split", "original_code").alias("extra_info"), F.struct("ground_truth").alias("reward_model"))
@@ -185,13 +204,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each evaluation split and source: rows, rows met in training, pairs and the mean best coverage."""
-    found = row_overlaps(_records(spark, sf_dir))
-    met = found.groupBy("evaluation").agg(F.countDistinct("training").alias("pairs"), F.max("coverage").alias("coverage"))
+    """For each evaluation split and source: rows, rows met in training, pairs and the mean coverage by all training texts."""
+    records = _records(spark, sf_dir)
+    met = row_overlaps(records).groupBy("evaluation").agg(F.countDistinct("training").alias("pairs"))
     rows = table(spark, sf_dir, "training_rows")
     split = F.lower(F.trim(F.regexp_replace("extra_info.split", r"\s", " ")))
     rows = rows.select(F.col("row_id").alias("evaluation"), split.alias("split"), "data_source").where(F.col("split").isin("validation", "test"))
-    return rows.join(met, "evaluation", "left").groupBy("split", "data_source").agg(
+    return rows.join(met, "evaluation", "left").join(row_coverage(records), "evaluation", "left").groupBy("split", "data_source").agg(
         F.count(F.lit(1)).alias("rows"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg("coverage"), 4).alias("coverage")
     )
 
