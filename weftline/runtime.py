@@ -70,11 +70,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
+def stored_path(df: DataFrame, name: str = "table") -> str:
+    """Write ``df`` as Parquet in the shared checkpoint folder; the path of the table."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
-    Like :func:`cut`, but later steps read only the columns they need.
+    Like :func:`cut`, but later steps read only the columns they need, and the
+    planner carries nothing over from the plan that made the table.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored_path(df, name))
