@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import contraction, p3_splits, p5_overlap, p6_near_duplicates as p6
 from weftline.llm.ranking import number_within, running_total
+from weftline.llm.skew import hot_keys, look_up
 
 
 def shingle_set(text):
@@ -133,6 +134,38 @@ def test_components(spark):
     assert contraction.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_long_path(spark):
+    # planning must not grow with the rounds: a path of 10,000 vertices takes more than 30 of them
+    n = 10_000
+    made = []
+    plain = contraction.contract
+    contraction.contract = lambda *a: made.append(plain(*a)) or made[-1]
+    try:
+        got = contraction.components(spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+        assert got.count() == n and got.select("root").distinct().count() == 1
+    finally:
+        contraction.contract = plain
+    sizes = [len(d._jdf.queryExecution().optimizedPlan().toString()) for d in (made[0], made[-1])]
+    assert len(made) > 20 and sizes[1] < 1.2 * sizes[0]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4
+
+
+def test_hot_hub(spark):
+    # one vertex has a third of all edges
+    edges = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("u"), (F.col("id") + 1).alias("v"))
+    got = contraction.components(edges)
+    assert got.count() == 6002 and got.select("root").distinct().count() == 1
+
+
+def test_look_up(spark):
+    rows = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 1000)).alias("k"))
+    found = spark.createDataFrame([("hot", 1), ("k7", 2), ("no", 3)], "k string, v int")
+    got = {r.id: r.v for r in look_up(rows, found, "k", F.col("id")).collect()}
+    assert len(got) == 9000 and all(v == (1 if i % 3 == 0 else 2 if i % 3 == 1 and i % 1000 == 7 else None) for i, v in got.items())
+    assert look_up(rows.limit(0), found, "k", F.col("id")).count() == 0
+    assert {r.k for r in hot_keys(rows, "k").collect()} == {"hot"}
+
+
 SAMPLES = [
     (1, "Own/Repo", "a" * 40, "x.py"), (2, "https://git.example/own/repo.git", None, None), (3, None, "a" * 40, "src/x"), (4, " ", "A" * 12, None), (5, "fork/repo", "b" * 40, None), (6, None, "b" * 7, None),
     (7, None, None, "/own/repo/src/a.py"), (8, None, None, "git.example/fork/repo/b.py"), (9, None, None, "no/such/repo.py"), (10, None, "HEAD", None), (11, "lone/wolf", "0" * 40, None), (12, None, "unknown", ""), (13, "fork/repo/", "c" * 40, None), (14, "LONE/WOLF", "d" * 40, None), (14, "LONE/WOLF", "d" * 40, None),

@@ -4,8 +4,11 @@ Each round tosses a coin for every vertex that still has an edge, by a hash of
 vertex and round. A tail with a neighbour that shows heads collapses into the
 least such neighbour; edges are renamed, loops and repeats dropped, until no
 edge is left. The rounds' moves are then unwound, last first, so that each
-vertex learns the vertex its component ended in. Nothing is gathered on the
-driver but the number of edges left.
+vertex learns the vertex its component ended in. The edges of each round, and
+the roots of each step back, are tables of their own, so plans stay as small
+as that of one round, and what later rounds found is read as one scan of
+their tables. A vertex of very many edges is looked up by broadcast
+(:mod:`skew`). Nothing is gathered on the driver but the number of edges left.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import stored, stored_path
+from .skew import HOT, hot_keys, look_up
 
 
 def _heads(vertex: str, turn: int) -> Column:
@@ -24,36 +28,54 @@ def _undirected(u: Column, v: Column) -> list[Column]:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
+def _mates(left: DataFrame, turn: int) -> DataFrame:
+    """``u``, ``to`` (where it moves, or null) and ``degree`` of each vertex with an edge; one shuffle."""
+    both = left.union(left.select("v", "u"))
+    to = F.min(F.when(~_heads("u", turn) & _heads("v", turn), F.col("v")))
+    return both.groupBy("u").agg(to.alias("to"), F.count(F.lit(1)).alias("degree"))
+
+
+def contract(left: DataFrame, turn: int, count: int) -> DataFrame:
+    """The ``count`` edges ``left`` after one round."""
+    mates = _mates(left, turn)
+    hot = mates.where(F.col("degree") > max(HOT, 2 * count / HOT))
+    moves = mates.where(F.col("to").isNotNull())
+    for side, other in (("u", "v"), ("v", "u")):
+        name = lambda df, side=side: df.select(F.col("u").alias(side), "to")
+        left = look_up(left, name(moves), side, F.col(other), name(hot)).select(F.coalesce("to", side).alias(side), other)
+    return left.where(F.col("u") != F.col("v")).select(*_undirected(F.col("u"), F.col("v"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``vertex`` and ``root`` for each vertex of ``edges`` (u, v); loops, nulls and repeats don't matter.
 
     Vertices are of any one comparable type. The roots are arbitrary but the
     same in every run. A table without edges gives no rows.
     """
-    left = cut(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select(*_undirected(F.col("u"), F.col("v"))).distinct())
-    loops = left.where(F.col("u") == F.col("v")).select(F.col("u").alias("vertex"))
-    left = left.where(F.col("u") != F.col("v"))
-    moves: list[DataFrame] = []
-    while left.take(1):
-        turn = len(moves)
-        both = left.union(left.select("v", "u"))
-        move = cut(both.where(~_heads("u", turn) & _heads("v", turn)).groupBy("u").agg(F.min("v").alias("to")))
-        moves.append(move)
-        left = left.join(move, "u", "left").select(F.coalesce("to", "u").alias("u"), "v")
-        left = left.join(move.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("to", "v").alias("v"))
-        left = cut(left.where(F.col("u") != F.col("v")).select(*_undirected(F.col("u"), F.col("v"))).distinct())
-    roots = None
-    for k, move in enumerate(reversed(moves)):
-        if roots is None:
-            roots = move.select(F.col("u").alias("vertex"), F.col("to").alias("root"))
-            continue
-        seen = roots.select(F.col("vertex").alias("to"), F.col("root").alias("final"))
-        now = move.join(seen, "to", "left").select(F.col("u").alias("vertex"), F.coalesce("final", "to").alias("root"))
-        roots = roots.union(now)
-        if k % 4 == 3:
-            roots = cut(roots)
-    if roots is None:
+    spark = edges.sparkSession
+    every = stored(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select(*_undirected(F.col("u"), F.col("v"))).distinct(), "edges")
+    loops = every.where(F.col("u") == F.col("v")).select(F.col("u").alias("vertex"))
+    left = every.where(F.col("u") != F.col("v"))
+    rounds: list[DataFrame] = []
+    while count := left.count():
+        rounds.append(left)
+        left = stored(contract(left, len(rounds) - 1, count), "edges")
+    kind = every.schema["u"].dataType.simpleString()
+    paths: list[str] = []
+
+    def found() -> DataFrame:
+        return spark.read.schema(f"vertex {kind}, root {kind}").parquet(*paths)
+
+    for turn in reversed(range(len(rounds))):
+        now = _mates(rounds[turn], turn).where(F.col("to").isNotNull()).select(F.col("u").alias("vertex"), "to")
+        if paths:
+            now = look_up(now, found().withColumnRenamed("vertex", "to"), "to", F.col("vertex"), hot_keys(now, "to", rounds[turn].count()))
+        else:
+            now = now.withColumn("root", F.lit(None).cast(kind))
+        paths.append(stored_path(now.select("vertex", F.coalesce("root", "to").alias("root")), "roots"))
+    if not paths:
         return loops.select("vertex", F.col("vertex").alias("root"))
-    own = roots.select("root").distinct().select(F.col("root").alias("vertex"), "root")
-    known = cut(roots.union(own))
+    own = found().select("root").distinct().select(F.col("root").alias("vertex"), "root")
+    paths.append(stored_path(own, "roots"))
+    known = found()
     return known.union(loops.join(known, "vertex", "left_anti").select("vertex", F.col("vertex").alias("root")))

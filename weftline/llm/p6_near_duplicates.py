@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from ..runtime import spread, stored, table
 from .contraction import components
 from .shingles import mix, shingles, signature
+from .skew import look_up
 
-SIMILARITY, RUNS, DEPTH, DEEPEST, SMALL = 0.7, 20, 3, 7, 64
+SIMILARITY, RUNS, DEPTH, DEEPEST, SMALL, BLOCK = 0.7, 20, 3, 7, 64, 256
 LOST = 1e-4  # greatest chance to miss a pair at the threshold, whatever the size of its buckets
 
 
@@ -166,10 +167,16 @@ def shared_buckets(at: DataFrame) -> DataFrame:
     return rows.join(sizes, "node")
 
 
-def meetings(at: DataFrame) -> DataFrame:
-    """All pairs of classes in the same bucket."""
-    a, b = at.select("node", F.col("cls").alias("a")), at.select("node", F.col("cls").alias("b"))
-    return a.join(b, "node").where(F.col("a") < F.col("b")).select("a", "b")
+def meetings(at: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs of classes in the same bucket of ``at`` (node, cls, size).
+
+    A bucket of more than ``block`` classes is compared in blocks: one side is cut into
+    parts of about ``block``, which the other side visits one by one, in tasks of their own.
+    """
+    parts = F.ceil(F.col("size") / block).cast("int")
+    a = at.select("node", F.col("cls").alias("a"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"))
+    b = at.select("node", F.col("cls").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return a.join(b, ["node", "part"]).where(F.col("a") < F.col("b")).select("a", "b")
 
 
 def similar_classes(records: DataFrame, similarity: float = SIMILARITY, depth: int = DEPTH, deepest: int = DEEPEST, small: int = SMALL, runs: int = RUNS) -> DataFrame:
@@ -222,24 +229,37 @@ def similar_classes(records: DataFrame, similarity: float = SIMILARITY, depth: i
     return both.select("a", "b", jaccard.alias("similarity")).where(F.col("similarity") >= similarity)
 
 
-def similar_rows(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Expand pairs of classes, and the classes themselves, into pairs of rows ``id_a`` < ``id_b``."""
-    a, b = members.select(F.col("cls").alias("a"), F.col("id").alias("x")), members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    across = classes.select("a", "b").join(a, "a").join(b, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    same = a.join(b, F.col("a") == F.col("b")).where(F.col("x") < F.col("y")).select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+def similar_rows(members: DataFrame, classes: DataFrame, block: int = 1000) -> DataFrame:
+    """Expand pairs of classes, and the classes themselves, into pairs of rows ``id_a`` < ``id_b``.
+
+    The rows of a class are cut into parts of about ``block``, so that a class that
+    holds many rows meets itself, and others, in many tasks.
+    """
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
+    parts = F.ceil(F.col("size") / block).cast("int")
+    cut_up = look_up(members, sizes, "cls", F.col("id")).select("id", "cls", "size", F.pmod(F.xxhash64("id"), parts).alias("part"))
+    a = cut_up.select(F.col("cls").alias("a"), F.col("id").alias("x"), F.col("part").alias("pa"), "size")
+    b = cut_up.select(F.col("cls").alias("b"), F.col("id").alias("y"), F.col("part").alias("pb"))
+    parts_of = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"n{side}") / block) - 1))
+    both = classes.select("a", "b").join(sizes.select(F.col("cls").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("size").alias("nb")), "b")
+    both = both.withColumn("pa", parts_of("a")).withColumn("pb", parts_of("b")).select("a", "pa", "b", "pb")
+    across = both.join(a.drop("size"), ["a", "pa"]).join(b, ["b", "pb"]).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    twins = a.where(F.col("size") > 1).withColumn("pb", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    same = twins.join(b.withColumnRenamed("b", "a"), ["a", "pb"]).where(F.col("x") < F.col("y")).select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
     return across.union(same)
 
 
 def groups(members: DataFrame, classes: DataFrame) -> DataFrame:
     """One row per record: ``id``, ``group_id`` (its least id) and ``links`` (similar other records)."""
-    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least"))
+    sizes = stored(members.groupBy("cls").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least")), "sizes")
     both = classes.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(classes.select("b", "a"))
-    links = both.join(sizes.select(F.col("cls").alias("other"), "rows"), "other").groupBy("cls").agg(F.sum("rows").alias("others"))
+    links = look_up(both, sizes.select(F.col("cls").alias("other"), "rows"), "other", F.col("cls")).groupBy("cls").agg(F.sum("rows").alias("others"))
     roots = components(classes.select(F.col("a").alias("u"), F.col("b").alias("v")))
     per = sizes.join(links, "cls", "left").join(roots.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    per = stored(per.select("cls", "least", "root", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("links")), "linked")
     least = per.groupBy("root").agg(F.min("least").alias("group_id"))
-    per = per.join(least, "root").select("cls", "group_id", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("links"))
-    return members.join(per, "cls").select("id", "group_id", "links")
+    per = look_up(per, least, "root", F.col("cls")).select("cls", "group_id", "links")
+    return look_up(members, per, "cls", F.col("id")).select("id", "group_id", "links")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,4 +283,22 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("sample_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-QUERIES = {"p6_found": (p6_found, None), "p6_groups": (p6_groups, None)}
+#: The definition for DuckDB: shingles of each text, all texts that share one compared.
+SHINGLES = """
+words AS (SELECT id, field, regexp_extract_all(lower(t), '[a-z0-9_]+') AS w FROM texts),
+shingles AS (SELECT DISTINCT id, field, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, field, w, unnest(generate_series(1, len(w) - 2)) AS i FROM words WHERE len(w) > 2)),
+sizes AS (SELECT id, field, count(*) AS n FROM shingles GROUP BY id, field),
+shared AS (SELECT a.id AS a, b.id AS b, a.field, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.field = b.field AND a.id < b.id GROUP BY a.id, b.id, a.field),
+near_pairs AS (SELECT DISTINCT a, b FROM shared s JOIN sizes x ON x.id = s.a AND x.field = s.field JOIN sizes y ON y.id = s.b AND y.field = s.field WHERE s.n >= 0.7 * (x.n + y.n - s.n) - 1e-9)
+"""
+_TEXTS = "texts AS (SELECT sample_id AS id, '' AS field, coalesce(original_code, '') || chr(10) || coalesce(update_snippet, '') AS t FROM apply_samples), "
+_GROUPS = """,
+both_ways AS (SELECT a, b FROM near_pairs UNION SELECT b, a FROM near_pairs),
+reach AS (SELECT a AS node, b AS other FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON w.a = r.other)
+SELECT sample_id, least(sample_id, coalesce((SELECT min(other) FROM reach WHERE node = sample_id), sample_id)) AS group_id, (SELECT count(*) FROM both_ways WHERE a = sample_id) AS links FROM apply_samples
+"""
+
+QUERIES = {
+    "p6_found": (p6_found, f"WITH {_TEXTS}{SHINGLES} SELECT a AS sample_id_a, b AS sample_id_b FROM near_pairs"),
+    "p6_groups": (p6_groups, f"WITH RECURSIVE {_TEXTS}{SHINGLES}{_GROUPS}"),
+}
