@@ -5,6 +5,7 @@ import re
 import string
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,25 +199,36 @@ def test_levels(spark):
     labels = spark.createDataFrame([(i, f"g{i % 3}", 1 + i % 3) for i in range(30)], "doc_id long, grader string, grade int")
     sources = spark.createDataFrame([(i, f"s{i % 7}") for i in range(36)], "id long, source string")
     model = p10.train(measured, labels, sources)
-    got = {r.id: (r.level, r.graded_level) for r in p10.levels(measured, model).collect()}
-    assert got == {i: (("easy", "medium", "hard")[i % 3],) * 2 for i in range(36)}
+    got = {r.id: (r.level, r.agreed, r.defined) for r in p10.levels(measured, model).collect()}
+    assert got == {i: (("easy", "medium", "hard")[i % 3],) * 3 for i in range(36)}
     bare = p10.levels(measured, p10.train(measured, labels.limit(0), sources)).collect()
     assert {r.level for r in bare} == {"easy", "medium", "hard"} and all(r.grade is None for r in bare)
     assert p10.features(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     measured.unpersist()
 
 
-def test_overruled_grades(spark):
-    # grades turned round: the trees learn them, the definition overrules all but the middle
+def test_trees_decide(spark):
+    # grades turned round: the trees learn them and, being of one mind, decide; without labels the check does
     texts = ["We run the old job now. You can see the log! " * 5, "The server validates the default parser before every release and logs the result of the last run. " * 3, "Heterogeneous canonicalization necessitates interdependent parameterization " * 6 + "."]
     measured = p10.features(spark.createDataFrame(list(enumerate(texts * 12)), "doc_id long, text string")).cache()
     labels = spark.createDataFrame([(i, "g", 3 - i % 3) for i in range(30)], "doc_id long, grader string, grade int")
-    model = p10.train(measured, labels, spark.createDataFrame([(i, f"s{i % 7}") for i in range(36)], "id long, source string"))
-    got = sorted(map(tuple, p10.overruled(p10.levels(measured, model)).collect()))
-    assert got == [("easy", "hard", 12, True), ("hard", "easy", 12, True), ("medium", "medium", 12, False)]
+    sources = spark.createDataFrame([(i, f"s{i % 7}") for i in range(36)], "id long, source string")
+    got = sorted(map(tuple, p10.decided(p10.levels(measured, p10.train(measured, labels, sources))).collect()))
+    assert got == [("easy", "trees", False, 12), ("hard", "trees", False, 12), ("medium", "trees", True, 12)]
+    bare = p10.decided(p10.levels(measured, p10.train(measured, labels.limit(0), sources))).collect()
+    assert sorted(map(tuple, bare)) == [("easy", "check", True, 12), ("hard", "check", True, 12), ("medium", "check", True, 12)]
     measured.unpersist()
 
 
+def test_held_out_calibration():
+    # the knots that score a fold are made without it: a fold of its own kind is not fitted away
+    rows = pd.DataFrame({"x": [[float(i % 3)] * len(p10.FEATURES) for i in range(60)], "y": [1.0 + i % 3 for i in range(60)], "weight": 1.0, "fold": [i % 5 for i in range(60)]})
+    rows.loc[rows.fold == 0, "y"] = 4.0 - rows.y
+    folds = p10.Model(rows).folds
+    wrong = folds[folds.fold == 0]
+    assert (wrong.calibrated - wrong.y).abs().mean() > 1.0
+
+
 def test_values_of_all_rows(spark):
     # the least hash is one row's only; the model of ordinary values knows both fields of the others too
     df = spark.createDataFrame([(i, "a.py", f'name = "{v}"\n', f'other = "{w}"\n') for i, (v, w) in enumerate([("zqzqzqzq", "jxjxjxjx"), ("vkvkvkvk", "wbwbwbwb"), ("ydydydyd", "hghghghg")])], "sample_id long, path string, original_code string, ground_truth string")

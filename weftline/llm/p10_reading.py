@@ -3,18 +3,19 @@
 Each document gets distributions of length, vocabulary, syntax and cohesion
 (``FEATURES``). Boosted regression trees, trained on the graded documents
 (at most ``LABELLED`` of them, a documented bound), predict a grade from 1 to
-3; folds that keep a source together give the predictions that calibrate it
-(isotonic) and its measured error. The levels are defined exactly by two means
-(words per sentence, letters per word), so this definition alone decides
-``level`` on every document, a departure from the method; the level of the calibrated
-grade stands beside it as ``graded_level``, and ``p10_overruled`` counts how often
-the two differ.
+3, calibrated (isotonic) by predictions for folds that keep a source together.
+The trees of the folds, each trained without one fold, vote beside those of all
+labels: where all of them give a document the same level, that is its ``level``.
+Documents they differ on lie near a bound or where labels are sparse; these
+are settled by the exact check, the two means that define the levels.
+``p10_decided`` counts both, and how often the trees contradict the definition.
 
 Defined results: only ``lang`` = en, not source files, at least 30 words and
 one sentence end (fenced code taken out); other documents, null and empty
-texts get no row; repeated rows are repeated; without any label the grade is
-null and the check alone decides; an empty table gives no rows. Several grades
-of a document are averaged, each grader weighted by agreement with the others.
+texts get no row; repeated rows are repeated; with labels in fewer than two
+folds the grade may be null and the check settles all; an empty table gives no
+rows. Several grades of a document are averaged, each grader weighted by
+agreement with the others.
 """
 
 from __future__ import annotations
@@ -96,31 +97,49 @@ def consensus(grades: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"y": top / bottom, "weight": bottom}).rename_axis("id").reset_index()
 
 
+LEVELS = np.array(["easy", "medium", "hard"])
+
+
 class Model:
-    """Trees and the knots of their calibration; ``folds`` has the held-out predictions."""
+    """Trees of all labels and of the folds, with the knots of their calibration; ``folds`` has the held-out predictions."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.trees, self.knots, self.folds = None, None, pd.DataFrame(columns=["fold", "y", "raw"])
+        self.trees, self.knots, self.voters = None, None, []
+        self.folds = pd.DataFrame(columns=["fold", "y", "raw", "calibrated"])
         if not len(rows):
             return
         x, y, w = np.array(rows.x.tolist(), float), rows.y.to_numpy(float), rows.weight.to_numpy(float)
         fold = rows.fold.to_numpy()
-        raw = np.full(len(y), np.nan)
+        raw, held = np.full(len(y), np.nan), np.full(len(y), np.nan)
         for f in np.unique(fold):
             out = fold == f
             if not out.all():
-                raw[out] = Boosted().fit(x[~out], y[~out], w[~out]).predict(x[out])
-        self.folds = pd.DataFrame({"fold": fold, "y": y, "raw": raw})
+                self.voters.append(Boosted().fit(x[~out], y[~out], w[~out]))
+                raw[out] = self.voters[-1].predict(x[out])
         self.trees = Boosted().fit(x, y, w)
+        self.knots = self._knots(raw, y)
+        for f in np.unique(fold):  # error is measured with knots that have not seen the fold
+            out = fold == f
+            held[out] = self._calibrate(raw[out], self._knots(raw[~out], y[~out]))
+        self.folds = pd.DataFrame({"fold": fold, "y": y, "raw": raw, "calibrated": held})
+
+    @staticmethod
+    def _knots(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         ok = ~np.isnan(raw)
-        if ok.sum() >= 10:
-            self.knots = isotonic(raw[ok], y[ok])
+        return isotonic(raw[ok], y[ok]) if ok.sum() >= 10 else None
 
-    def calibrated(self, raw: np.ndarray) -> np.ndarray:
-        return np.clip(np.interp(raw, *self.knots) if self.knots is not None else raw, 1, 3)
+    @staticmethod
+    def _calibrate(raw: np.ndarray, knots: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        return np.clip(np.interp(raw, *knots) if knots is not None else raw, 1, 3)
 
-    def grade(self, x: np.ndarray) -> np.ndarray:
-        return np.full(len(x), np.nan) if self.trees is None else self.calibrated(self.trees.predict(x))
+    def grade(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The calibrated grade, and the level that all voters agree on (-1: they differ)."""
+        if self.trees is None:
+            return np.full(len(x), np.nan), np.full(len(x), -1)
+        grades = [self._calibrate(m.predict(x), self.knots) for m in (self.trees, *self.voters)]
+        votes = np.stack([np.digitize(g, (1.5, 2.5)) for g in grades])
+        agreed = (votes == votes[0]).all(axis=0) & (len(self.voters) > 1)
+        return grades[0], np.where(agreed, votes[0], -1)
 
 
 def train(measured: DataFrame, labels: DataFrame, sources: DataFrame) -> Model:
@@ -141,18 +160,17 @@ def definition(x: Column) -> Column:
 
 
 def levels(measured: DataFrame, model: Model) -> DataFrame:
-    """``id``, ``grade`` (calibrated), ``graded_level`` (by the grade) and ``level`` (by the definition, whatever the grade)."""
-    held = measured.sparkSession.sparkContext.broadcast(model)  # bounded: trees and at most LABELLED knots
+    """``id``, ``grade`` (calibrated), ``agreed`` (the level of all trees, null where they differ), ``defined`` and ``level``."""
+    held = measured.sparkSession.sparkContext.broadcast(model)  # bounded: FOLDS + 1 sets of trees and at most LABELLED knots
 
-    @F.pandas_udf("double")
-    def grade(x: pd.Series) -> pd.Series:
-        return pd.Series(held.value.grade(np.array(x.tolist(), float).reshape(len(x), len(FEATURES))))
+    @F.pandas_udf("grade double, agreed string")
+    def grade(x: pd.Series) -> pd.DataFrame:
+        grades, agreed = held.value.grade(np.array(x.tolist(), float).reshape(len(x), len(FEATURES)))
+        return pd.DataFrame({"grade": grades, "agreed": np.where(agreed < 0, None, LEVELS[agreed])})
 
-    out = measured.withColumn("grade", F.nanvl(grade("x"), F.lit(None).cast("double")))
-    by_grade = F.when(F.col("grade") < 1.5, "easy").when(F.col("grade") > 2.5, "hard").when(F.col("grade").isNotNull(), "medium")
-    exact = definition(F.col("x"))
-    out = out.withColumn("graded_level", by_grade)
-    return out.select("id", "grade", "graded_level", F.when(F.col("graded_level") == exact, F.col("graded_level")).otherwise(exact).alias("level"))
+    out = measured.withColumn("g", grade("x"))
+    out = out.select("id", F.nanvl("g.grade", F.lit(None).cast("double")).alias("grade"), "g.agreed", definition(F.col("x")).alias("defined"))
+    return out.withColumn("level", F.coalesce("agreed", "defined"))
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -178,22 +196,31 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.join(docs, "id").groupBy("source", "kind").agg(F.count(F.lit(1)).alias("docs"), n("easy"), n("medium"), n("hard"), F.round(F.avg("grade"), 3).alias("mean_grade"))
 
 
-def overruled(graded: DataFrame) -> DataFrame:
-    """Documents per level of the grade and level of the definition; where they differ, the definition overruled the trees."""
-    return graded.groupBy("graded_level", "level").agg(F.count(F.lit(1)).alias("docs")).withColumn("overruled", ~F.col("graded_level").eqNullSafe(F.col("level")))
+def decided(graded: DataFrame) -> DataFrame:
+    """Documents per level and who gave it: ``trees``, or the ``check`` where they differ; ``as_defined``: the level is that of the definition."""
+    by = F.when(F.col("agreed").isNotNull(), "trees").otherwise("check")
+    return graded.groupBy("level", by.alias("decided_by"), (F.col("level") == F.col("defined")).alias("as_defined")).agg(F.count(F.lit(1)).alias("docs"))
 
 
-def p10_overruled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the definition overrules the level of the grade."""
-    return overruled(_levels(spark, sf_dir)[0])
+def p10_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many levels the trees give, how many the check settles, and where trees and definition differ."""
+    return decided(_levels(spark, sf_dir)[0])
 
 
 def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out error per fold of sources: mean absolute error and share of the right grade."""
+    """Held-out error per fold of sources: mean absolute error and share of the right grade; trees and calibration haven't seen the fold."""
     measured, labels, docs = _measured(spark, sf_dir)
     model = train(measured, labels, docs.select("id", "source"))
-    rows = [(int(f), len(g), float(np.abs(model.calibrated(g.raw.to_numpy()) - g.y).mean()), float((np.round(model.calibrated(g.raw.to_numpy())) == np.round(g.y)).mean())) for f, g in model.folds.dropna().groupby("fold")]
+    rows = [(int(f), len(g), float((g.calibrated - g.y).abs().mean()), float((g.calibrated.round() == g.y.round()).mean())) for f, g in model.folds.dropna().groupby("fold")]
     return spark.createDataFrame(rows, "fold int, documents int, mean_error double, right double")
 
 
-QUERIES = {"p10_found": (p10_found, None), "p10_profile": (p10_profile, None), "p10_overruled": (p10_overruled, None), "p10_validation": (p10_validation, None)}
+#: The definition for DuckDB: the two means, without the trees.
+_DEFINED = r"""
+WITH bare AS (SELECT doc_id, regexp_replace(text, '(?s)```.*?```', '', 'g') AS t FROM documents WHERE lang = 'en' AND kind IS DISTINCT FROM 'source_file' AND text IS NOT NULL),
+counted AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z]+')) AS words, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters, len(regexp_extract_all(t, '[.!?]+(?:\s|\z)')) AS ends FROM bare),
+means AS (SELECT doc_id, words / ends AS wps, letters / words AS lpw FROM counted WHERE words >= 30 AND ends > 0)
+SELECT doc_id, CASE WHEN wps < 11 AND lpw < 4.8 THEN 'easy' WHEN wps > 19 AND lpw > 6 THEN 'hard' ELSE 'medium' END AS level FROM means
+"""
+
+QUERIES = {"p10_found": (p10_found, _DEFINED), "p10_profile": (p10_profile, None), "p10_decided": (p10_decided, None), "p10_validation": (p10_validation, None)}
