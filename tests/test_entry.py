@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -16,6 +18,13 @@ def test_entry(spark, tiny):
     assert set(catalog.queries()) <= set(e.queries())
 
 
+def test_entry_without_a_package():
+    # a package that only the training-data operators need is missing: the core queries stay
+    code = "import sys; sys.modules.update(ahocorasick=None, regex=None, xxhash=None); import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
+    assert out.stdout.split() == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))], out.stderr
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, tiny, name):
     duckdb = pytest.importorskip("duckdb")
