@@ -95,9 +95,28 @@ def test_data_on_long_lines():
 
 @pytest.mark.parametrize("path, hit", [("a/vendor/x.py", True), ("a/vendors/x.py", False), ("x/a_pb2.py", True), ("a_min.c", False), ("a.min.js", True), ("third_party_auth/x.c", False), ("b/package-lock.json", True), (None, False), ("", False), ("moc_x.cpp", True), ("src/generator/x.go", False)])
 def test_conventions(path, hit):
+    assert len(p1.parse_attributes(p1.DEFAULT_RULES)) == len(p1.DEFAULT_RULES.split("\n"))
     assert p1.by_convention(path) == hit
 
 
+def test_text_of_any_size():
+    notice = "// This file was automatically generated from the schema by a tool" + ", and again" * 60
+    assert len(notice) > 500 and p1.text_evidence(notice + "\nint a;\n", "c") == "generated"
+    assert p1.text_evidence("/* small */ f('do not edit')" + ";g(1)" * 3 + "\n", "c") is None  # code behind a comment
+    assert p1.text_evidence("x=1;y(x);" * 36, "javascript") == "minified"  # 324 characters
+    literals = "T = [\n" + ", ".join(f"0x{i:04x}" for i in range(320)) + ",\n]\n"
+    assert max(map(len, literals.split("\n"))) > 2500 and p1.text_evidence(literals, "python") == "data"
+
+
+def test_declared_repositories(spark):
+    # patterns and conventions stay out of repositories with a file of their own; the deepest directory wins
+    rows = [(1, "o/r", ".gitattributes", "*.c linguist-generated\nlib/** -linguist-vendored\n"), (2, "o/r", "lib/.gitattributes", "keep.c linguist-vendored\n"), (3, "o/r", "vendor/x.py", "y"), (4, "o/r", "a.c", "y"), (5, "o/r", "lib/a.c", "// @generated\n"), (6, "o/r", "lib/keep.c", "y"), (7, "o/s", "vendor/x.py", "y"), (8, None, "vendor/x.py", "y"), (9, "o/r", None, "// @generated\n"), (10, "o/r", "b.h", None)]
+    rows += [(100 + i, "o/r", f"d{i}/f.c", "y") for i in range(3000)]  # a hot repository
+    df = spark.createDataFrame([(i, r, p, "c", t) for i, r, p, t in rows], "sample_id long, repo string, path string, language string, original_code string")
+    got = {r.id: r.reason for r in p1.not_by_hand(df).collect()}
+    assert {k: v for k, v in got.items() if k < 100} == {4: "declared", 6: "declared", 7: "convention", 8: "convention", 9: "generated"} and len(got) == 3005
+
+
 def test_attributes():
     rules = p1.parse_attributes("# note\n*.gen.go linguist-generated\nlib/** linguist-vendored=true\nlib/own/** -linguist-vendored\nx.c text\n/a/[bc]?.js linguist-generated=false")
     assert [(n, m) for n, _, m in rules] == [(1, True), (2, True), (3, False), (5, False)]
@@ -113,7 +132,7 @@ def test_not_by_hand(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "sample_id long, repo string, path string, language string, original_code string, reason string")
     got = {r.id: r.reason for r in p1.not_by_hand(df).collect()}
     assert got[2] == "declared" and 3 not in got and got[5] == "generated" and got[6] == "convention" and 7 not in got
-    assert all(got[100 + i] == ("vendored" if i < 6 else "mined") for i in range(10)) and not any(200 + i in got for i in range(60))
+    assert all(got[100 + i] == "mined" for i in range(10)) and not any(200 + i in got for i in range(60))
     assert p1.not_by_hand(df.limit(0)).count() == 0
 
 
@@ -140,6 +159,17 @@ def test_all_defects():
     assert d(JS * 4) == ["copy"] and d(PY.replace("\n", "\n\n") * 9, original=None)[-1] == "other_language"
 
 
+def test_defects_of_any_size():
+    d = lambda answer, original=JS * 4, snippet="x", language="javascript": p2.defects(answer, snippet, original, language, False)
+    plea = "I'm sorry, but I cannot apply this change.\n" + "The file is too large for me and the edit is not clear enough.\n" * 8
+    assert d(plea)[0] == "refusal" and d(plea + "Please send it in parts and say where each of them belongs.\n" * 30)[0] == "refusal"
+    notes = "Unfortunately the old parser is slow.\n" + "".join(f"It reads line {i} of the log and keeps it for later use.\n" for i in range(30))
+    assert d(notes, notes + "More of it is to come.\n", language="markdown") == []  # a file that uses such words
+    wide = "".join(f"var a{i}=f({i},b{i});" for i in range(900))  # some 20 KB on one line
+    assert len(wide) > 18_000 and d(wide[: len(wide) // 2], wide) == ["truncated"] and d(wide[: int(0.8 * len(wide))], wide) == ["truncated"]
+    assert d(wide.replace("f(450,", "g(451,"), wide) == [] and d(wide[: len(wide) // 2] + "var new1=1;" + wide[len(wide) // 2 :], wide) == []
+    assert d("SELECT a FROM t WHERE b > 3;\n", None, language="python") == ["other_language"] and d("Update the file as described.\n", None, language="python") == []
+
 
 def test_pairs_table(spark):
     rows = [("1", None, "s", JS, "js", None), ("2", JS + "// more\n", None, None, None, None), ("2", JS + "// more\n", None, None, None, None), ("3", JS[:60], None, None, "js", JS), ("4", JS, None, " ", "js", JS)]

@@ -1,20 +1,23 @@
 """Problem 1: source files that nobody wrote by hand.
 
-Three kinds of evidence, strongest first. (1) Attribute files
-(``.gitattributes``) declare generated and vendored paths; the rule of the
-deepest directory wins, and in one file the last. (2) The text: comments that
-say a tool made the file or where it was copied from, minified layout, or
-literals that fill half of it: a table, however its lines are laid out, or long
-encoded texts. (3) The path: public conventions, and patterns mined from
-the files that (1) and (2) prove, applied to repositories that declare
-nothing: a directory name or a prefix or suffix of file names of which at
-least ``SHARE`` are proven, ``SUPPORT`` of them in several repositories.
+Attribute files (``.gitattributes``) declare generated and vendored paths: the
+rule of the deepest directory wins, and in one file the last. Repositories
+without such a file get equivalent patterns: the public conventions of
+``DEFAULT_RULES``, which is an attribute file itself and goes through the same
+parser, and patterns mined from files whose text proves what they are: a
+directory, or a prefix or suffix of file names, of which at least ``PURITY`` are
+not written by hand, with ``SUPPORT`` proven files in ``REPOS`` repositories. Texts
+prove only a part of such files; how large that part is shows on the files that
+the default rules mark. The proof, which also
+decides about files that no pattern covers, is the text: comments that say a
+tool made the file or where it was copied from, minified layout, or literals
+that fill half of it, however their lines are laid out.
 
 Defined results: a null or blank text is evidence of nothing, so only the
 path counts; a null path only lets the text count; a null repository is one
 without attribute files; repeated rows are judged alike; an empty table gives
 no rows; other columns are dropped. A declaration that a path is *not*
-generated or vendored overrules (2) and (3).
+generated or vendored overrules patterns and text.
 """
 
 from __future__ import annotations
@@ -29,19 +32,25 @@ from pyspark.sql import functions as F
 from ..runtime import spread, stored, table
 from .languages import DATA, language_of
 from .p3_splits import filled, repo_name
+from .skew import look_up
 
-SHARE, SUPPORT, REPOS = 0.2, 4, 3
+PURITY, SUPPORT, REPOS = 0.5, 4, 3
 ROW, BLOB = 12, 400  # least literals of a table without lines of its own, least characters of an encoded literal
 
-#: Public conventions for directories of generated or third-party code.
-DIRECTORIES = (
-    "vendor node_modules bower_components jspm_packages third_party thirdparty third-party 3rdparty external_libs godeps pods carthage "
-    "generated generated-sources generated-src gen autogen codegen __generated__ .yarn site-packages"
-).split()
-#: Public conventions for names of generated, minified or lock files.
-NAMES = re.compile(
-    r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|cc|h|gw\.go)|[._]pb\.(?:js|ts|rs|swift)|_pb\.(?:js|ts|d\.ts)|\.g\.(?:ts|dart|cs|js)|[._]generated\.\w+|_gen\.go|zz_generated\.\w+\.go|\.designer\.cs|\.tab\.[ch]|\.yy\.c|"
-    r"[.-]min\.\w+|\.bundle\.\w+)$|^(?:moc_\w+\.cpp|ui_\w+\.h|qrc_\w+\.cpp|package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|go\.sum|cargo\.lock|poetry\.lock|composer\.lock|gemfile\.lock|pipfile\.lock)$"
+#: Public conventions for generated, vendored, minified and lock files, as an attribute file.
+DEFAULT_RULES = "\n".join(
+    [
+        *(f"**/{d}/** linguist-vendored" for d in "vendor node_modules bower_components jspm_packages third_party thirdparty third-party 3rdparty external_libs godeps pods carthage .yarn site-packages".split()),
+        *(f"**/{d}/** linguist-generated" for d in "generated generated-sources generated-src gen autogen codegen __generated__".split()),
+        *(
+            f"{name} linguist-generated"
+            for name in (
+                "*_pb2.py *_pb2_grpc.py *_pb2.pyi *_pb2_grpc.pyi *.pb.go *.pb.cc *.pb.h *.pb.gw.go *[._]pb.js *[._]pb.ts *[._]pb.rs *[._]pb.swift *_pb.d.ts *.g.ts *.g.dart *.g.cs *.g.js "
+                "*[._]generated.* *_gen.go zz_generated.*.go *.designer.cs *.tab.[ch] *.yy.c *[.-]min.* *.bundle.* moc_*.cpp ui_*.h qrc_*.cpp "
+                "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml go.sum cargo.lock poetry.lock composer.lock gemfile.lock pipfile.lock"
+            ).split()
+        ),
+    ]
 )
 _HINT = re.compile(r"(?i)generated|do not (?:edit|modify)|manual edits|changes will be lost|vendored|copied|bundled copy|third[- ]party|imported snapshot|part of the|sourceMappingURL")
 _MADE = re.compile(
@@ -52,6 +61,7 @@ _TAKEN = re.compile(
 )
 _DENIED = re.compile(r"(?i)\b(?:not|never|isn't|no longer|without) (?:auto-?|automatically |machine[- ])?generated|\bnot (?:vendored|copied)|\b(?:(?:maintained|written|made|edited) by hand|hand[- ]?(?:written|made|edited)|edit freely)\b")
 _COMMENT = re.compile(r"^\s*(?://|#(?!\s*(?:define|include|if|else|pragma|error|warning)\b)|--|/\*|\*|<!--|;|\"\"\"|'''|\"[$_]?(?:notice|comment|generated(?:[_-]?by)?|warning|header|//)\"\s*:)")
+_CLOSED = re.compile(r"^(\s*(?:/\*.*?\*/|<!--.*?-->)).*")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`")
 _LOCK = re.compile(r'"(?:lockfileVersion|integrity)"\s*:\s*(?:\d|"sha\d+-)')
 _LITERAL = r"""(?:[-+]?(?:0[xX][0-9a-fA-F_]++|\d[\d._]*+(?:[eE][-+]?\d++)?+)(?:[iuf]\d++|[uUlLfF]*+(?:[iuf]\d++)?+)|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)"""
@@ -85,7 +95,8 @@ def text_evidence(text: str | None, language: str | None) -> str | None:
     mapped = False
     if hinted:
         for line in lines:
-            if _HINT.search(line) and _COMMENT.match(line) and len(line) < 400:
+            if _HINT.search(line) and _COMMENT.match(line):
+                line = _CLOSED.sub(r"\1", line)  # code behind a comment is no notice
                 if _DENIED.search(line):
                     continue
                 if _MADE.search(line):
@@ -96,7 +107,7 @@ def text_evidence(text: str | None, language: str | None) -> str | None:
     if language in (None, "json") and len(_LOCK.findall(text)) >= 3:
         return "generated"
     long = sum(len(x) for x in lines if len(x) > 300)
-    if len(text) > 400 and language not in DATA and (long >= 0.6 * len(text) or mapped and long >= 0.2 * len(text)):
+    if language not in DATA and (long >= 0.6 * len(text) or mapped and long >= 0.2 * len(text)):
         code = [_QUOTED.sub("", x) for x in lines if len(x) > 300]  # one long literal is no minified code
         dense = sum(map(len, code))
         if dense >= 0.3 * len(text) and sum(x.count(" ") for x in code) < 0.12 * dense:
@@ -117,32 +128,6 @@ def path_features(path: str | None) -> list[str]:
     return sorted(out)
 
 
-def by_convention(path: str | None) -> bool:
-    if not path or not path.strip():
-        return False
-    *folders, name = [x for x in path.strip().lower().split("/") if x] or [""]
-    return any(x in DIRECTORIES for x in folders) or bool(NAMES.search(name))
-
-
-def evidence(df: DataFrame, key: str = "sample_id") -> DataFrame:
-    """``id``, ``repo``, ``path``, ``says`` (evidence of the text), ``convention`` and ``features`` of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, repos, paths, languages, texts = (c.to_pylist() for c in batch.columns)
-            says = [text_evidence(t, language_of(g)) for t, g in zip(texts, languages)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(repos, pa.string()), pa.array(paths, pa.string()), pa.array(says, pa.string()), pa.array(list(map(by_convention, paths)), pa.bool_()), pa.array(list(map(path_features, paths)), pa.list_(pa.string()))],
-                ["id", "repo", "path", "says", "convention", "features"],
-            )
-
-    picked = df.select(F.col(key).cast("long").alias("id"), repo_name(F.col("repo")).alias("repo"), filled(F.col("path")).alias("path"), "language", "original_code")
-    return picked.mapInArrow(run, "id long, repo string, path string, says string, convention boolean, features array<string>")
-
-
-# -- attribute files ------------------------------------------------------------
-
-
 def glob_regex(pattern: str) -> str:
     """A path pattern of an attribute file as a regex over paths relative to the file's directory."""
     body = pattern.strip().strip('"')
@@ -184,49 +169,82 @@ def parse_attributes(text: str | None) -> list[tuple[int, str, bool]]:
     return out
 
 
-def declared(files: DataFrame, attributes: DataFrame) -> DataFrame:
-    """``id`` and ``marked`` for files (id, repo, path) that a rule of ``attributes`` (repo, path, text) covers."""
+_DEFAULTS = [(re.compile(r), marked) for _, r, marked in parse_attributes(DEFAULT_RULES)]
+
+
+def by_convention(path: str | None) -> bool:
+    """Whether the last of the default rules that covers a path marks it."""
+    relative = (path or "").strip().lower().lstrip("/")
+    return bool(relative) and next((marked for rule, marked in reversed(_DEFAULTS) if rule.match(relative)), False)
+
+
+def evidence(df: DataFrame, key: str = "sample_id") -> DataFrame:
+    """``id``, ``repo``, ``path``, ``says`` (evidence of the text), ``convention``, ``features`` and ``rules`` (of an attribute file, else null) of each row; one scan."""
+    rule = pa.struct([("line", pa.int32()), ("regex", pa.string()), ("marked", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, repos, paths, languages, texts = (c.to_pylist() for c in batch.columns)
+            says = [text_evidence(t, language_of(g)) for t, g in zip(texts, languages)]
+            rules = [[dict(zip(("line", "regex", "marked"), r)) for r in parse_attributes(t)] if p and p.strip().rsplit("/", 1)[-1] == ".gitattributes" else None for p, t in zip(paths, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(repos, pa.string()), pa.array(paths, pa.string()), pa.array(says, pa.string()), pa.array(list(map(by_convention, paths)), pa.bool_()), pa.array(list(map(path_features, paths)), pa.list_(pa.string())), pa.array(rules, pa.list_(rule))],
+                ["id", "repo", "path", "says", "convention", "features", "rules"],
+            )
+
+    picked = df.select(F.col(key).cast("long").alias("id"), repo_name(F.col("repo")).alias("repo"), filled(F.col("path")).alias("path"), "language", "original_code")
+    return picked.mapInArrow(run, "id long, repo string, path string, says string, convention boolean, features array<string>, rules array<struct<line:int,regex:string,marked:boolean>>")
+
 
-    @F.udf("array<struct<line:int,regex:string,marked:boolean>>")
-    def rules(text: str | None) -> list:
-        return parse_attributes(text)
+def declared(rows: DataFrame) -> DataFrame:
+    """``id``, ``declares`` (the repository has an attribute file) and ``marked`` (by the rule that covers the path, else null) of :func:`evidence`.
 
-    folder = F.regexp_replace("path", r"[^/]*$", "")
-    per = attributes.where(F.col("text").isNotNull()).select("repo", folder.alias("folder"), F.explode(rules("text")).alias("r")).select("repo", "folder", "r.*").distinct()
-    per = stored(per, "rules")  # its size, known now, picks the join
+    The rules of a directory are one row of an array, so a hot repository multiplies no rows.
+    """
+    path = F.regexp_replace(F.trim("path"), r"^/+", "")
+    spot = F.concat_ws("\0", "repo", "folder")
+    ruled = rows.where(F.size("rules") > 0).select("repo", F.regexp_replace(path, r"[^/]*$", "").alias("folder"), F.explode("rules").alias("rule"))
+    per = stored(ruled.where(F.col("repo").isNotNull()).groupBy("repo", "folder").agg(F.collect_set("rule").alias("rules")).select("repo", spot.alias("spot"), "rules"), "rules")
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(steps, 1, F.greatest(k, F.lit(1))), "/"), F.lit("/"))))
-    placed = files.where(F.col("path").isNotNull() & F.col("repo").isNotNull()).withColumn("path", F.regexp_replace("path", r"^/+", ""))
-    spots = placed.select("id", "repo", "path", F.explode(above).alias("folder"))
-    hits = spots.join(per, ["repo", "folder"]).where(F.expr("rlike(substring(path, length(folder) + 1), regex)"))
-    return hits.groupBy("id").agg(F.max_by("marked", F.struct(F.length("folder"), "line")).alias("marked"))
+    known = look_up(rows.select("id", "repo", path.alias("path")), per.select("repo", F.lit(True).alias("declares")).distinct(), "repo", F.col("id"))
+    spots = known.where("declares").where(F.col("path").isNotNull()).withColumn("folder", F.explode(above)).select("id", "path", F.length("folder").alias("depth"), spot.alias("spot"))
+    hits = look_up(stored(spots, "spots"), per.select("spot", "rules"), "spot", F.col("id"))
+    covering = F.expr("filter(rules, r -> rlike(substring(path, depth + 1), r.regex))")
+    last = F.array_max(F.transform(covering, lambda r: F.struct(r["line"].alias("line"), r["marked"].alias("marked"))))
+    marks = hits.withColumn("last", last).where(F.col("last").isNotNull()).groupBy("id").agg(F.max_by("last.marked", "depth").alias("marked"))
+    return known.where("declares").select("id", "declares").distinct().join(marks, "id", "left")
 
 
 def mined(proof: DataFrame) -> DataFrame:
-    """``feature``: patterns of paths worth applying; ``proof`` has features, repo and proven."""
-    base = proof.agg(F.avg(F.col("proven").cast("int"))).first()[0] or 0.0
-    each = proof.select(F.explode("features").alias("feature"), "repo", F.col("proven").cast("int").alias("p"))
+    """``feature``: patterns of paths worth applying; ``proof`` has features, repo, convention and proven.
+
+    Of the files that the default rules mark, texts prove a share ``q`` (1 if there are none);
+    a pattern with a share ``s`` of proven files then holds about ``s / q`` that nobody wrote.
+    """
+    p = F.col("proven").cast("int")
+    base, q = proof.agg(F.avg(p), F.avg(F.when(F.col("convention"), p))).first()
+    each = proof.select(F.explode("features").alias("feature"), "repo", p.alias("p"))
     # repositories are counted from pre-aggregated pairs, so a hot one weighs one row
     pairs = each.groupBy("feature", "repo").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p"))
     whole = pairs.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.when(F.col("p") > 0, 1).otherwise(0)).alias("repos"))
     share = F.col("p") / F.col("n")
-    return whole.where((share >= SHARE) & (share >= 4 * base) & (F.col("p") >= SUPPORT) & (F.col("repos") >= REPOS)).select("feature")
+    return whole.where((share >= PURITY * (q or 1.0)) & (share >= 4 * (base or 0.0)) & (F.col("p") >= SUPPORT) & (F.col("repos") >= REPOS)).select("feature")
 
 
 def not_by_hand(df: DataFrame, key: str = "sample_id") -> DataFrame:
-    """``id`` and ``reason`` (declared, generated, vendored, minified, data, convention or mined)."""
+    """``id``, ``reason`` (declared, convention, mined, or the text's: generated, vendored, minified, data) and ``text`` (what the text says, or null)."""
     rows = stored(evidence(df, key), "evidence")
-    files = df.where(F.col("path").rlike(r"(?:^|/)\.gitattributes\s*$")).select(repo_name(F.col("repo")).alias("repo"), F.regexp_replace(F.trim("path"), r"^/+", "").alias("path"), F.col("original_code").alias("text"))
-    marks = declared(rows.select("id", "repo", "path"), files)
-    rows = rows.join(marks, "id", "left")
+    rows = rows.select("id", "repo", "features", "says", "convention").join(stored(declared(rows), "declared"), "id", "left")
     proven = F.coalesce("marked", F.col("says").isNotNull())
-    patterns = stored(mined(rows.select("features", "repo", proven.alias("proven"))), "patterns")
-    matched = rows.select("id", F.explode("features").alias("feature")).join(patterns, "feature").select("id").distinct().withColumn("mined", F.lit(True))
-    # attribute files cover their own repository; the rest of the evidence stands where they are silent
+    patterns = stored(mined(rows.select("features", "repo", "convention", proven.alias("proven"))), "patterns")
+    matched = rows.where(F.col("declares").isNull()).select("id", F.explode("features").alias("feature")).join(patterns, "feature").select("id").distinct().withColumn("mined", F.lit(True))
+    # attribute files cover their own repository; patterns stand in where there is none
+    by_pattern = F.col("declares").isNull()
     reason = (
-        F.when(F.col("marked"), "declared").when(F.col("marked").isNotNull(), F.lit(None)).when(F.col("says").isNotNull(), F.col("says")).when(F.col("convention"), "convention").when(F.col("mined"), "mined")
+        F.when(F.col("marked"), "declared").when(F.col("marked").isNotNull(), F.lit(None)).when(by_pattern & F.col("convention"), "convention").when(by_pattern & F.col("mined"), "mined").otherwise(F.col("says"))
     )
-    return rows.join(matched, "id", "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).select("id", "reason")
+    return rows.join(matched, "id", "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).select("id", "reason", F.col("says").alias("text"))
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,8 +256,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files per reason."""
-    return not_by_hand(_rows(spark, sf_dir)).groupBy("reason").agg(F.countDistinct("id").alias("files"))
+    """Files per reason, and how many of them their text proves too."""
+    return not_by_hand(_rows(spark, sf_dir)).groupBy("reason").agg(F.countDistinct("id").alias("files"), F.count("text").alias("proven_by_text"))
 
 
 QUERIES = {"p1_found": (p1_found, None), "p1_reasons": (p1_reasons, None)}

@@ -6,7 +6,8 @@ original; another programming language (by the marks of its lines) or prose
 in another language (by script and function words); an end before the end of
 the file, by the lines of the original that the answer never reaches, or by
 delimiters that stay open. ``defects`` gives every rule that fires, in this
-order, and the first is the defect of the pair.
+order, and the first is the defect of the pair. Rules look at whole texts of any
+length; only a very long line is first cut at its delimiters.
 
 Defined results: null, blank and ``ERROR`` contents are empty; a null language
 can't be missed; without an original the complete file, if there is one, tells
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from ..runtime import spread, table
 from .languages import language_of, likely
 
+WIDE = 200  # a longer line is compared by its pieces
 MISSING = 0.09  # least share of the original's characters that a cut answer never reaches
 
 #: Phrases that decline a request, in English, German, French and Spanish.
@@ -45,9 +47,13 @@ _WORDS = {
     "es": frozenset("el la los las y o no es un una del de que en para con por después antes cada todas sin nuestro cuando porque faltaban".split()),
 }
 _PREFIX = re.compile(r"^\s*(?://+|#+|--|;+|/\*+|\*+/?|<!--|\"\"\"|''')?\s*|\s*(?:\*/|-->|\"\"\"|''')?\s*$")
+_NOTE = re.compile(r"\s*(?:/[/*]|#|--|;|\*|<!--|\"\"\"|''')")
+_JOINTS = re.compile(r"\s*\n\s*(?://+|#+|--|;+|/\*+|\*+/?|<!--|\"\"\"|''')?\s*")
 _LATIN = re.compile(r"[a-zà-öø-ÿœß']+")
 _OTHER_SCRIPT = re.compile(r"[Ͱ-῿Ⰰ-퟿豈-﷿\U00010000-\U0003ffff]")
 _CODE = re.compile(r"[{};=<>\[\]]|\w\(|:$|^\s*[#@]\w")
+_STATEMENT = re.compile(r"(?i)^\s*(?:select\b.+\bfrom|insert into|update \w+ set|delete from|create (?:table|index|view)|alter table|drop table)\b")
+_PIECES = re.compile(r"[^;{}<>,]*[;{}<>,]|[^;{}<>,]+")
 #: Pairs in which a text of the first language is usually valid in the second, so marks decide only with a wide margin.
 _KIN = {("javascript", "typescript"), ("c", "c++"), ("json", "yaml"), ("json", "javascript")}
 
@@ -70,6 +76,9 @@ def is_empty(text: str | None) -> bool:
 
 def prose(lines: list[str]) -> str | None:
     """The language of lines that are prose, not code; ``other`` for another script; None for code."""
+    # lines that bear no sign of a comment are most of a file, and may tell without being stripped
+    if sum(1 for x in lines if _CODE.search(x) and not _NOTE.match(x) and not x.rstrip().endswith("-->")) > 0.2 * len(lines):
+        return None
     bare = [_PREFIX.sub("", x) for x in lines]
     text = " ".join(x for x in bare if x)
     if not text:
@@ -88,15 +97,26 @@ def prose(lines: list[str]) -> str | None:
     return best if hits[best] >= 0.12 else None
 
 
-def refuses(text: str) -> bool:
-    """A short text without code that declines."""
+def refuses(text: str, original: str | None = None) -> bool:
+    """Prose without code that declines, of any length.
+
+    It opens by declining, or declines once in about twelve lines; a text that
+    repeats a third of its lines from the original is a file that mentions such words.
+    """
+    if not _REFUSES.search(_JOINTS.sub(" ", text).replace("\u2019", "'")):
+        return False
     lines = [x for x in text.split("\n") if x.strip() and not re.match(r"\s*(?:```|~~~)", x)]
-    if not lines or len(lines) > 8:
+    if not lines:
         return False
     bare = [_PREFIX.sub("", x) for x in lines]
+    joined = " ".join(bare).replace("\u2019", "'")
+    hits = sum(1 for _ in _REFUSES.finditer(joined))
+    if not hits or 12 * hits < len(lines) and not _REFUSES.search(bare[0].replace("\u2019", "'")):
+        return False
     if sum(1 for x in bare if re.search(r"[{};]\s*$|\w\(.*\)\s*[:{]?$|\w\s*=\s*\S", x)) > 0.34 * len(bare):
         return False
-    return bool(_REFUSES.search(" ".join(bare).replace("’", "'")))
+    known = {x.strip() for x in (original or "").split("\n")}
+    return 3 * sum(x.strip() in known for x in lines) < len(lines)
 
 
 def other_language(text: str, language: str | None, original: str | None) -> bool:
@@ -105,7 +125,7 @@ def other_language(text: str, language: str | None, original: str | None) -> boo
     if spoken not in (None, "en"):
         # documents may hold foreign lines; an original in the same language is no defect
         return prose([x for x in (original or "").split("\n") if x.strip()]) != spoken
-    if language is None or spoken == "en" and language != "markdown" and len(lines) < 3:
+    if language is None:
         return False
     before = [x.strip() for x in (original or "").split("\n") if len(x.strip()) > 6]
     if before:
@@ -116,26 +136,36 @@ def other_language(text: str, language: str | None, original: str | None) -> boo
     if language not in marks:
         return False
     best = max(marks, key=marks.__getitem__)
-    if best == language or marks[best] < 0.15:
+    # English prose without code may begin like a statement of SQL
+    if best == language or marks[best] < 0.15 or spoken == "en" and language != "markdown" and not code_like(lines):
         return False
     wide = (language, best) in _KIN or (best, language) in _KIN
     return marks[best] >= marks[language] * (1.3 if wide else 1.15) + (0.05 if wide else 0.03)
 
 
+def code_like(lines: list[str]) -> bool:
+    """Whether any line bears the signs of code beyond those that prose has too."""
+    return any(_CODE.search(x) or _STATEMENT.search(x) for x in lines)
+
+
+def units(text: str) -> list[str]:
+    """The lines that aren't blank; one of more than ``WIDE`` characters comes in the pieces between its delimiters."""
+    out = []
+    for x in text.replace("\r", "\n").split("\n"):
+        if x.strip():
+            out += _PIECES.findall(x) if len(x) > WIDE else [x]
+    return out
+
+
 def truncated(text: str, original: str | None, snippet: str | None) -> bool:
     """Whether the answer never reaches the last part of the original."""
     if is_empty(original):
         return False
-    answer = [x.strip() for x in text.replace("\r", "\n").split("\n") if x.strip()]
-    laid = [x for x in original.replace("\r", "\n").split("\n") if x.strip()]
+    answer = [x.strip() for x in units(text)]
+    laid = units(original)
     lines = [x.strip() for x in laid]
     if not answer or not lines:
         return False
-    if len(original) > 200 * len(lines):
-        # a few very long lines: any edit changes all of one, so the last characters tell
-        whole, tail = original.strip(), text.strip()[-25:]
-        at = -1 if whole.endswith(tail) else whole.rfind(tail)
-        return at >= 0 and len(whole) - at - len(tail) >= MISSING * len(whole)
     gone = "\n".join(re.findall(r"(?im)^\W*(?:remove|delete|drop)[sd]?:?\s+(.+)$", snippet or ""))
     times = Counter(lines)
     have = set(answer)
@@ -183,7 +213,7 @@ def defects(answer: str | None, snippet: str | None, original: str | None, langu
     if is_empty(answer) or both and is_empty(snippet):
         return ["empty"]
     out = []
-    if refuses(answer):
+    if refuses(answer, whole if is_empty(original) else original):
         out.append("refusal")
     bare = answer.strip()
     if any(x is not None and x.strip() == bare for x in (snippet, original)):
