@@ -2,10 +2,12 @@
 
 Lines that name a credential or hold something shaped like one give candidate
 values. Each is described by the likelihood of its characters under a Markov
-model of ordinary values (below 400 characters) in all rows, the identifiers before it on the line,
+model of the values in all rows, the identifiers before it on the line,
 its shape and the path (``FEATURES``). A logistic regression is trained on
 weak labels, which patterns give to the clear cases of at most ``SAMPLE``
-rows; its calibrated score decides about every candidate of every row.
+rows; its calibrated score decides about every candidate of every row, all
+candidates of a batch at once. One scan counts the pairs of characters and
+picks the lines to train on, a second one scores.
 
 Defined results: null and blank texts have no credentials; a text that occurs
 in several rows is searched in each; very long texts and lines are searched
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import spread, table
+from ..runtime import spread, stored, table
 
+KEPT = 4  # short quoted names before a value that can be its keys
+WEIGHT = 64  # characters that a value counts for at most in the Markov model
+LEAST = 4  # characters of a value
 SAMPLE = 3000  # rows that the regression is trained on
 FIELDS = ("original_code", "ground_truth")
 
@@ -65,6 +70,8 @@ _TEST = re.compile(r"(?i)(?:^|[/_.-])(?:tests?|spec|fixtures?|examples?|docs?|sa
 _CONFIG = re.compile(r"(?i)\.(?:ya?ml|json|ini|cfg|conf|env|properties|toml|xml|md|sh)$")
 FEATURES = "markov entropy length digits upper symbols space known login header strong broad benign stand_in uuid hex plain comment quoted test config".split()
 
+_REFERS, _UUID_AT = FEATURES.index("stand_in"), FEATURES.index("uuid")
+
 
 class Markov:
     """Log-likelihood of characters given the one before, in bits a character."""
@@ -90,7 +97,7 @@ def entropy(value: str) -> float:
 
 def candidates(line: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, text before) of each value on a line that may be a credential."""
-    taken = 0
+    taken, kept = 0, deque(maxlen=KEPT)
     for m in _VALUE.finditer(line):
         k = m.lastgroup if m.lastgroup != "q" else "s"
         k = "s" if m.group("s") is not None else "u" if m.group("u") is not None else "x"
@@ -102,23 +109,28 @@ def candidates(line: str) -> Iterator[tuple[int, int, str, str]]:
                 yield start + h.start(1), start + h.end(1), kind, before
                 break
         else:
-            if end - start >= 6 and not value.startswith("-----BEGIN"):
+            if end - start >= LEAST and not value.startswith("-----BEGIN"):
                 yield start, end, "quoted" if k == "s" else "bare", before
         if k == "u" and value.isidentifier():
             continue  # a type between a name and its value
         if end - start >= 40 or " " in value or k != "s" or _BENIGN.search(value) is None and _STRONG.search(" ".join(_NAMES.findall(value)).lower()) is None:
             taken = m.end()
-        # a short quoted name stays in view, as the key of the value after it
-    for shape, kind in ((_LOGIN, "login"), (_HEADER, "header")):
+            kept.clear()
+        else:
+            # a short quoted name stays in view, as the key of the value after it; of many in a row the last ones
+            if len(kept) == KEPT:
+                taken = kept[0]
+            kept.append(m.end())
+    for shape, group, kind in ((_LOGIN, 1, "login"), (_HEADER, 1, "header"), (_KNOWN_RE, 0, "known")):
+        seen = 0
         for h in shape.finditer(line):
-            yield h.start(1), h.end(1), kind, line[: h.start()]
-    for h in _KNOWN_RE.finditer(line):
-        yield h.start(), h.end(), "known", line[: h.start()]
+            yield h.start(group), h.end(group), kind, line[seen : h.start()]
+            seen = h.end()
 
 
 def describe(line: str, start: int, end: int, kind: str, before: str, path: str, markov: Markov) -> list[float]:
     value = line[start:end]
-    names = " ".join(w.lower() for w in _NAMES.findall(before[-120:]))
+    names = " ".join(w.lower() for w in _NAMES.findall(before.rpartition(";")[2]))  # of the same statement
     n = max(1, len(value))
     return [
         markov(value) / 8, entropy(value) / 5, min(n, 64) / 32, sum(c.isdigit() for c in value) / n, sum(c.isupper() for c in value) / n,
@@ -147,7 +159,7 @@ def weak_label(x: list[float]) -> int | None:
 class Logistic:
     """L2-regularised logistic regression by Newton steps, with Platt calibration by folds."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.5):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.05):
         self.w = self._fit(x, y, ridge)
         held = np.zeros(len(y))
         for k in range(3):
@@ -171,9 +183,9 @@ class Logistic:
                 break
         return w
 
-    def score(self, x: list[float]) -> float:
-        z = self._raw(np.array([x]), self.w)[0] * self.scale[0] + self.scale[1]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """The calibrated probabilities of rows of features."""
+        return 1 / (1 + np.exp(-np.clip(self._raw(x, self.w) * self.scale[0] + self.scale[1], -30, 30)))
 
 
 class Detector:
@@ -182,38 +194,46 @@ class Detector:
     def __init__(self, markov: Markov, model: Logistic | None, threshold: float = 0.5):
         self.markov, self.model, self.threshold = markov, model, threshold
 
-    def hit(self, x: list[float]) -> bool:
-        if x[FEATURES.index("stand_in")]:
-            return False
-        return self.model.score(x) >= self.threshold if self.model else weak_label(x) == 1
-
-    def find(self, text: str | None, path: str | None) -> list[tuple[int, int, int]]:
-        """(line from 1, start, end in the text) of each credential, in order, without overlaps."""
-        if not text or not _TRIGGER.search(text):
+    def hits(self, x: list[list[float]]) -> list[bool]:
+        if not x:
             return []
-        found, at, number, pem = [], 0, 0, None
-        for line in text.split("\n"):
-            number += 1
-            if pem is not None:
-                if e := _PEM_END.search(line):
-                    found.append((pem[0], pem[1], at + e.start()))
-                    pem = None
-            elif _TRIGGER.search(line):
-                if b := _PEM.search(line):
-                    if e := _PEM_END.search(line, b.end()):
-                        found.append((number, at + b.end(), at + e.start()))
+        scored = (self.model.score(np.array(x)) >= self.threshold).tolist() if self.model else [weak_label(r) == 1 for r in x]
+        # what refers to a variable or a store, or stands for a value, and a UUID are no credentials by definition
+        return [hit and not r[_REFERS] and not r[_UUID_AT] for hit, r in zip(scored, x)]
+
+    def find(self, texts: list[str | None], paths: list[str | None]) -> list[list[tuple[int, int, int]]]:
+        """For each text (line from 1, start, end in the text) of each credential, in order, without overlaps."""
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        places, x = [], []
+        for k, (text, path) in enumerate(zip(texts, paths)):
+            if not text or not _TRIGGER.search(text):
+                continue
+            at, number, pem = 0, 0, None
+            for line in text.split("\n"):
+                number += 1
+                if pem is not None:
+                    if e := _PEM_END.search(line):
+                        found[k].append((pem[0], pem[1], at + e.start()))
+                        pem = None
+                elif _TRIGGER.search(line):
+                    if b := _PEM.search(line):
+                        if e := _PEM_END.search(line, b.end()):
+                            found[k].append((number, at + b.end(), at + e.start()))
+                        else:
+                            pem = (number, at + b.end())
                     else:
-                        pem = (number, at + b.end())
-                else:
-                    last = -1
-                    for start, end, kind, before in sorted(candidates(line)):
-                        if start >= last and self.hit(describe(line, start, end, kind, before, path or "", self.markov)):
-                            found.append((number, at + start, at + end))
-                            last = end
-            at += len(line) + 1
-        if pem is not None:
-            found.append((pem[0], pem[1], len(text)))
-        return found
+                        for start, end, kind, before in candidates(line):
+                            places.append((k, number, at + start, at + end))
+                            x.append(describe(line, start, end, kind, before, path or "", self.markov))
+                at += len(line) + 1
+            if pem is not None:
+                found[k].append((pem[0], pem[1], len(text)))
+        last = (-1, -1)
+        for k, number, start, end in sorted({p for p, hit in zip(places, self.hits(x)) if hit}):
+            if (k, start) >= last:
+                found[k].append((number, start, end))
+                last = (k, end)
+        return [sorted(f) for f in found]
 
 
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:
@@ -226,37 +246,45 @@ def redact(text: str, found: list[tuple[int, int, int]]) -> str:
 
 
 def train(df: DataFrame, key: str = "sample_id", sample: int = SAMPLE) -> Detector:
-    """Train on the ``sample`` rows whose hash of ``key`` is least; pairs of characters are counted in all rows."""
-    ids = df.select(key).orderBy(F.xxhash64(key), key).limit(sample)
-    some = df.join(F.broadcast(ids.distinct()), key).select("path", *FIELDS)
+    """Train on the ``sample`` rows whose hash of ``key`` is least; pairs of characters are counted in all rows, in the same scan."""
+    rank = F.xxhash64(key)
+    bound = df.select(rank.alias("rank")).orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        names = ["p", "n", "path", "line"]
         for batch in batches:
-            for text in (t for column in batch.columns for t in column.to_pylist()):
-                for m in _VALUE.finditer(text or ""):
-                    v = m.group("s") or m.group("u") or m.group("x")
-                    counts.update(zip(v, v[1:])) if len(v) < 400 else None
+            lines = set()
+            for picked, path, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+                for text in texts:
+                    for m in _VALUE.finditer(text or ""):
+                        v = m.group("s") or m.group("u") or m.group("x")
+                        weight = min(1.0, WEIGHT / len(v))  # long data don't outweigh all else
+                        for pair in zip(v, v[1:]):
+                            counts[pair] += weight
+                    if picked and text:
+                        lines |= {(path, line) for line in text.split("\n") if _TRIGGER.search(line) and not _PEM.search(line)}
+            a, b = zip(*sorted(lines, key=str)) if lines else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.string()), pa.nulls(len(a), pa.float64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names)
         items = [(a + b, n) for (a, b), n in counts.items() if 32 <= ord(a) < 127 and 32 <= ord(b) < 127]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], ["p", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in items], pa.string()), pa.array([n for _, n in items], pa.float64()), pa.nulls(len(items), pa.string()), pa.nulls(len(items), pa.string())], names)
 
-    counted = df.select(*FIELDS).mapInArrow(pairs, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most 95 * 95
+    seen = stored(df.select((rank <= F.lit(bound)).alias("picked"), "path", *FIELDS).mapInArrow(read, "p string, n double, path string, line string"), "lines")
+    counted = seen.where(F.col("p").isNotNull()).groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most 95 * 95
     markov = Markov({(r[0][0], r[0][1]): r[1] for r in counted})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
-            for path, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-                for text in texts:
-                    for line in (text or "").split("\n"):
-                        if _TRIGGER.search(line) and not _PEM.search(line):
-                            for start, end, kind, before in candidates(line):
-                                x = describe(line, start, end, kind, before, path or "", markov)
-                                if (y := weak_label(x)) is not None:
-                                    out.add((y, *x))
+            for path, line in zip(*(c.to_pylist() for c in batch.columns)):
+                for start, end, kind, before in candidates(line):
+                    x = describe(line, start, end, kind, before, path or "", markov)
+                    if (y := weak_label(x)) is not None:
+                        out.add((y, *x))
             out = sorted(out)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1:] for r in out], pa.list_(pa.float64()))], ["y", "x"])
 
+    some = seen.where(F.col("line").isNotNull()).select("path", "line").distinct()
     data: pd.DataFrame = some.mapInArrow(rows, "y int, x array<double>").distinct().orderBy(F.xxhash64("x")).limit(20 * sample).toPandas()
     if data.y.nunique() < 2:
         return Detector(markov, None)
@@ -270,12 +298,8 @@ def find(df: DataFrame, detector: Detector, key: str = "sample_id") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = held.value
         for batch in batches:
-            out = [
-                (i, field, *hit)
-                for i, path, *texts in zip(*(c.to_pylist() for c in batch.columns))
-                for field, text in zip(FIELDS, texts)
-                for hit in d.find(text, path)
-            ]
+            ids, paths, *texts = (c.to_pylist() for c in batch.columns)
+            out = [(i, field, *hit) for field, column in zip(FIELDS, texts) for i, hits in zip(ids, d.find(column, paths)) for hit in hits]
             c = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(c, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["id", "field", "line_no", "start", "end"])
 
@@ -291,7 +315,7 @@ def blot(df: DataFrame, detector: Detector, key: str = "sample_id") -> DataFrame
         d = held.value
         for batch in batches:
             ids, path, *texts = (c.to_pylist() for c in batch.columns)
-            found = [[d.find(t, p) for t, p in zip(field, path)] for field in texts]
+            found = [d.find(field, path) for field in texts]
             clean = [[redact(t, f) if f else t for t, f in zip(field, hits)] for field, hits in zip(texts, found)]
             n = [sum(map(len, x)) for x in zip(*found)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.string()) for c in clean), pa.array(n, pa.int32())], ["id", *FIELDS, "n_found"])
