@@ -98,6 +98,32 @@ def test_overlaps(spark):
     records.unpersist()
 
 
+def test_overlaps_with_frequent_passages(spark, monkeypatch):
+    # a third of all texts share most passages: those are ordered last, and split where they are joined
+    monkeypatch.setattr(p5_overlap, "PART", 5)
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(30)]
+    texts = [" ".join([*common, *(f"r{rng.randrange(9)}" for _ in range(rng.randrange(14)))]) for _ in range(60)] + [" ".join(common)] * 20 + family(rng, 60)
+    rows = [(i, (("train", "test")[i % 2], t), (None,)) for i, t in enumerate(texts)]
+    records = p5_overlap.texts(p5_overlap.flat(spark.createDataFrame(rows, "row_id long, extra_info struct<split:string,original_code:string>, reward_model struct<ground_truth:string>").repartition(3))).cache()
+    got = [(r.evaluation, r.training) for r in p5_overlap.row_overlaps(records).collect()]
+    sets = [shingle_set(t) for t in texts]
+    want = {(i, j) for i in range(1, len(texts), 2) for j in range(0, len(texts), 2) if similarity(sets[i], sets[j]) >= 0.7}
+    assert set(got) == want and len(got) == len(want) > 900
+    assert p5_overlap.row_overlaps(records.limit(0)).count() == 0
+    records.unpersist()
+
+
+def test_summaries_are_bounded(monkeypatch):
+    monkeypatch.setattr(p5_overlap, "HOT", 50)
+    monkeypatch.setattr(p5_overlap, "SUMMARY", 200)
+    counts, rng = p5_overlap.Frequent(), np.random.default_rng(2)
+    for k in range(300):
+        counts.add(np.unique(np.concatenate([np.arange(5, dtype=np.uint64), rng.integers(10, 2**60, 40).astype(np.uint64)])))
+    counts.fold()
+    assert len(counts.keys) <= 50 and all(counts.times[counts.keys == k] == 300 for k in range(5))
+
+
 def test_coverage():
     hit = list(p5_overlap.scan([(1, "a b c d e f"), (2, "x y z")], iter([(7, "a b c d e q"), (8, "x y z")]), 0.4))
     assert [(e, t) for e, t, *_ in hit] == [(1, 7), (2, 8)]

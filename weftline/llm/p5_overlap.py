@@ -4,14 +4,18 @@ Evaluation texts are normalised to their words and cut into passages of three
 words. An Aho-Corasick automaton over the passages of a shard of evaluation
 texts scans training texts; per evaluation text, the matched passages give the
 exact similarity and the merged intervals the coverage. To scan every training
-text with every shard would cost training size times shards, so texts are
-first routed: each text has ``BANDS`` keys, each of ``ROWS`` minimal hashes of its
-passages, and a training text goes to the shards of those evaluation texts
-that share a key. A pair at similarity s shares none with probability
-``(1 - s**ROWS) ** BANDS``: 3e-7 at 0.7. Texts with the same set of passages are
-one class and are compared once. Shards are cut by a fixed number of evaluation
-texts and further by training texts, so a hot evaluation text is scanned for
-in many tasks.
+text with every shard would cost training size times shards, so a training
+text goes only to the shards of evaluation texts with which it shares one of
+its rarest passages. This loses nothing: the passages of every text are put in
+one common order, rare ones first, and of two texts of n and m passages with
+similarity s or more, the first passage they share is among the first
+``n - ceil(s n) + 1`` of the one and the first ``m - ceil(s m) + 1`` of the other.
+The order needs the ``HOT`` most frequent passages only, counted in summaries of
+bounded size over all texts; any order is exact, a good one is fast. A frequent
+passage is split into parts by training text, so that none is joined in one task.
+Texts with the same set of passages are one class and are compared once. Shards
+are cut by a fixed number of evaluation texts and further by training texts, so
+a hot evaluation text is scanned for in many tasks.
 
 Defined results: the split is compared without case and blanks, and rows of
 no known split take no part; null texts and texts of fewer than three words
@@ -21,9 +25,9 @@ gives no rows; a null ``data_source`` is counted as null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,49 +35,127 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import spread, stored, table
-from .shingles import WORDS, mix, shingles, signature
+from .p6_near_duplicates import SHINGLES
+from .shingles import WORDS, mix, runs, signature
 
-SIMILARITY, BANDS, ROWS = 0.7, 36, 3
+SIMILARITY = 0.7
 TEXTS, PAIRS = 100, 2000  # evaluation texts in a shard, and pairs in a block of it
+HOT, SUMMARY = 65_536, 200_000  # passages that are ordered by frequency, and passages a task counts before it forgets rare ones
+PART = 5_000  # texts with a frequent passage that meet in one task
 
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
+class Frequent:
+    """Counts of passages in bounded memory: after each ``SUMMARY`` new ones the rare are forgotten."""
 
-def route_keys(tokens: np.ndarray) -> np.ndarray:
-    """The band keys of a set of passages."""
-    low = (mix(tokens.astype(np.uint64))[None, :] * _SEEDS[:, None]).min(axis=1).reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        out = mix(out ^ low[:, k])
-    return out.view(np.int64)
+    def __init__(self) -> None:
+        self.keys, self.times = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.waiting.append(tokens)
+        self.size += len(tokens)
+        if self.size > SUMMARY:
+            self.fold()
+
+    def fold(self) -> None:
+        every = np.concatenate([self.keys, *self.waiting])
+        weights = np.concatenate([self.times, np.ones(len(every) - len(self.keys), np.int64)])
+        self.keys, at = np.unique(every, return_inverse=True)
+        self.times = np.bincount(at, weights, len(self.keys)).astype(np.int64)
+        if len(self.keys) > HOT:
+            keep = np.argpartition(-self.times, HOT)[:HOT]
+            keep.sort()
+            self.keys, self.times = self.keys[keep], self.times[keep]
+        self.waiting, self.size = [], 0
 
 
 def texts(df: DataFrame) -> DataFrame:
-    """``id``, ``field``, ``train``, ``cls``, ``n``, ``words`` and ``keys`` from (id, field, train, text)."""
+    """``id``, ``field``, ``train``, ``cls``, ``n``, ``words`` and ``first`` from (id, field, train, text).
+
+    ``first`` marks the first row of its class in a task. Rows without ``id`` carry
+    the summaries of frequent passages, ``keys`` and ``times``.
+    """
+    names = ["id", "field", "train", "cls", "n", "words", "first", "keys", "times"]
+    kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        frequent = Frequent()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
                 for i, field, train, text in zip(*(c.to_pylist() for c in part.columns)):
-                    s = shingles(text)
-                    if len(s):
-                        rows.append((i, field, train, signature(s), len(s), " ".join(WORDS(text.lower())), route_keys(s)))
-                cols = list(zip(*rows)) if rows else [()] * 7
-                kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "field", "train", "cls", "n", "words", "keys"])
-
-    return df.select("id", "field", "train", "text").mapInArrow(run, "id long, field string, train boolean, cls long, n int, words string, keys array<long>")
+                    words = WORDS((text or "").lower())
+                    tokens = np.unique(runs(words))
+                    if len(tokens):
+                        cls = signature(tokens)
+                        first = (field, train, cls) not in seen
+                        if first:
+                            if len(seen) > 1_000_000:
+                                seen.clear()
+                            seen.add((field, train, cls))
+                            frequent.add(tokens)
+                        rows.append((i, field, train, cls, len(tokens), " ".join(words), first, None, None))
+                cols = list(zip(*rows)) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        frequent.fold()
+        often = frequent.times > 1
+        if often.any():
+            row = [None] * 7 + [frequent.keys[often].view(np.int64), frequent.times[often]]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+
+    return df.select("id", "field", "train", "text").mapInArrow(run, "id long, field string, train boolean, cls long, n int, words string, first boolean, keys array<long>, times array<long>")
+
+
+def prefixes(records: DataFrame, similarity: float) -> DataFrame:
+    """``train``, ``cls``, ``n`` and ``route`` (passage with field and part, and its place in the common order) of each class."""
+    summary = records.where(F.col("id").isNull()).select(F.explode(F.arrays_zip("keys", "times")).alias("x")).groupBy("x.keys").agg(F.sum("x.times").alias("times"))
+    top = summary.orderBy(F.desc("times"), "keys").limit(HOT).toPandas()  # HOT rows at most
+    top = top.sort_values("keys")
+    held = records.sparkSession.sparkContext.broadcast((top["keys"].to_numpy(np.int64), top["times"].to_numpy(np.int64)))
 
-
-def candidates(records: DataFrame) -> DataFrame:
-    """Distinct (field, e, t): classes of an evaluation and a training text that share a key and fit in size."""
-    at = records.select("field", "train", "cls", "n", F.explode("keys").alias("key")).distinct()
-    e = at.where(~F.col("train")).select("field", "key", F.col("cls").alias("e"), F.col("n").alias("ne"))
-    t = at.where("train").select("field", "key", F.col("cls").alias("t"), F.col("n").alias("nt"))
-    fit = F.least("ne", "nt") >= F.greatest("ne", "nt") * F.lit(SIMILARITY)
-    return e.join(t, ["field", "key"]).where(fit).select("field", "e", "t").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = held.value
+        salts = {"original_code": np.uint64(1), "ground_truth": np.uint64(2)}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                out = []
+                for field, train, cls, words in zip(*(c.to_pylist() for c in part.columns)):
+                    tokens = np.unique(runs(words.split(" ")))
+                    often = np.zeros(len(tokens), np.int64)
+                    if len(keys):
+                        where = np.minimum(np.searchsorted(keys, tokens.view(np.int64)), len(keys) - 1)
+                        often = np.where(keys[where] == tokens.view(np.int64), times[where], 0)
+                    order = np.lexsort((tokens, often))[: len(tokens) - math.ceil(similarity * len(tokens) - 1e-9) + 1]
+                    routes, places = [], []
+                    parts = 1 + often[order] // PART
+                    own = np.uint64(cls % 2**64)
+                    for place, (token, count) in enumerate(zip(tokens[order], parts)):
+                        mine = [int(own % np.uint64(count))] if train else range(int(count))
+                        routes += [token + salts.get(field, np.uint64(0)) + np.uint64(p) * np.uint64(0x9E3779B97F4A7C15) for p in mine] if count > 1 else [token + salts.get(field, np.uint64(0))]
+                        places += [place] * (len(mine) if count > 1 else 1)
+                    out.append((field, train, cls, len(tokens), mix(np.array(routes, np.uint64)).view(np.int64), np.array(places, np.int32)))
+                cols = list(zip(*out)) if out else [()] * 6
+                types = (pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["field", "train", "cls", "n", "routes", "places"])
+
+    one = records.where("first").select("field", "train", "cls", "words").mapInArrow(run, "field string, train boolean, cls long, n int, routes array<long>, places array<int>")
+    one = one.dropDuplicates(["field", "train", "cls"])
+    return one.select("field", "train", "cls", "n", F.explode(F.arrays_zip("routes", "places")).alias("x")).select("field", "train", "cls", "n", F.col("x.routes").alias("route"), F.col("x.places").alias("place"))
+
+
+def candidates(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct (field, e, t): classes of an evaluation and a training text that share a rare passage and whose sizes and places allow the similarity."""
+    at = stored(prefixes(records, similarity), "prefixes")
+    e = at.where(~F.col("train")).select("route", "field", F.col("cls").alias("e"), F.col("n").alias("ne"), F.col("place").alias("pe"))
+    t = at.where("train").select("route", F.col("cls").alias("t"), F.col("n").alias("nt"), F.col("place").alias("pt"))
+    fit = F.least("ne", "nt") >= F.greatest("ne", "nt") * F.lit(similarity)
+    # at the first passage they share, all others that they share lie behind
+    reach = 1 + F.least(F.col("ne") - F.col("pe") - 1, F.col("nt") - F.col("pt") - 1) >= (F.col("ne") + F.col("nt")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    return e.join(t, "route").where(fit & reach).select("field", "e", "t").distinct()
 
 
 def scan(evaluation: list[tuple[int, str]], training: Iterator[tuple[int, str]], similarity: float) -> Iterator[tuple[int, int, float, float]]:
@@ -82,7 +164,9 @@ def scan(evaluation: list[tuple[int, str]], training: Iterator[tuple[int, str]],
     Coverage is the share of the evaluation text's words inside passages that the
     training text has too.
     """
-    machine: ahocorasick.Automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    import ahocorasick
+
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     number: dict[str, int] = {}
     owners: list[list[int]] = []
     count, places = [], []
@@ -128,7 +212,8 @@ def scan(evaluation: list[tuple[int, str]], training: Iterator[tuple[int, str]],
 
 def overlaps(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``field``, ``e``, ``t``, ``similarity`` and ``coverage`` of classes, from stored :func:`texts`."""
-    pairs = stored(candidates(records), "routes")
+    pairs = stored(candidates(records, similarity), "routes")
+    records = records.where(F.col("first"))
     heads = pairs.select("field", "e").distinct()
     shards = max(1, -(-heads.count() // TEXTS))
     shard = F.pmod(F.xxhash64("field", "e"), F.lit(shards))
@@ -165,12 +250,27 @@ def flat(df: DataFrame) -> DataFrame:
     return rows.where(F.col("split").isin("train", "validation", "test")).select("id", "f.field", (F.col("split") == "train").alias("train"), "f.text", "split")
 
 
+def members(records: DataFrame) -> DataFrame:
+    """The rows of :func:`texts`, without the summaries."""
+    return records.where(F.col("id").isNotNull())
+
+
 def row_overlaps(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``evaluation``, ``training``, ``field``, ``similarity`` and ``coverage`` for rows."""
-    members = records.select("id", "field", "train", "cls")
-    e = members.where(~F.col("train")).select(F.col("id").alias("evaluation"), "field", F.col("cls").alias("e"))
-    t = members.where("train").select(F.col("id").alias("training"), "field", F.col("cls").alias("t"))
-    return overlaps(records, similarity).join(e, ["field", "e"]).join(t, ["field", "t"]).select("evaluation", "training", "field", "similarity", "coverage")
+    """``evaluation``, ``training``, ``field``, ``similarity`` and ``coverage`` for rows.
+
+    The rows of a class are cut into parts of about ``PART``, which meet in tasks of their own.
+    """
+    rows = members(records).select("id", "field", "train", "cls")
+    sizes = rows.groupBy("field", "train", "cls").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    pairs = overlaps(records, similarity)
+    for side, name, train in (("e", "evaluation", False), ("t", "training", True)):
+        few = sizes.where(F.col("train") == train).select("field", F.col("cls").alias(side), "parts")
+        large = stored(few.where(F.col("parts") > 1), "large")  # classes of more than PART rows
+        split = lambda df: df.join(large, ["field", side], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # noqa: B023, E731
+        own = split(rows.where(F.col("train") == train).select(F.col("id").alias(name), "field", F.col("cls").alias(side))).withColumn("part", F.pmod(F.xxhash64(name), "parts")).drop("parts")
+        pairs = split(pairs).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        pairs = pairs.join(own, ["field", side, "part"]).drop("part")
+    return pairs.select("evaluation", "training", "field", "similarity", "coverage")
 
 
 def row_coverage(records: DataFrame) -> DataFrame:
@@ -180,7 +280,7 @@ def row_coverage(records: DataFrame) -> DataFrame:
     are distinct before they are shuffled, and repeated texts are one class.
     """
     passages = F.expr("transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))")
-    texts_of = lambda own: records.where(own).groupBy("field", "cls").agg(F.split(F.first("words"), " ").alias("w")).withColumn("p", passages)
+    texts_of = lambda own: members(records).where(own).where("first").groupBy("field", "cls").agg(F.split(F.first("words"), " ").alias("w")).withColumn("p", passages)
     known = texts_of("train").select("field", F.explode(F.array_distinct("p")).alias("passage")).distinct()
     evaluation = texts_of("not train")
     at = evaluation.select("field", "cls", F.posexplode("p").alias("at", "passage")).join(known, ["field", "passage"], "left_semi")
@@ -188,7 +288,7 @@ def row_coverage(records: DataFrame) -> DataFrame:
     inside = at.select("field", "cls", F.explode(F.array(*[F.col("at") + k for k in range(3)])).alias("word")).groupBy("field", "cls").agg(F.countDistinct("word").alias("inside"))
     share = F.coalesce("inside", F.lit(0)) / F.col("n_words")
     classes = evaluation.select("field", "cls", F.size("w").alias("n_words")).join(inside, ["field", "cls"], "left").select("field", "cls", share.alias("coverage"))
-    rows = records.where("not train").select(F.col("id").alias("evaluation"), "field", "cls")
+    rows = members(records).where("not train").select(F.col("id").alias("evaluation"), "field", "cls")
     return rows.join(classes, ["field", "cls"]).groupBy("evaluation").agg(F.max("coverage").alias("coverage"))
 
 
@@ -215,4 +315,11 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p5_found": (p5_found, None), "p5_report": (p5_report, None)}
+#: The definition for DuckDB: shingles of each text, all texts that share one compared.
+_TEXTS = """texts AS (
+  SELECT row_id AS id, f AS field, CASE WHEN f = 'o' THEN extra_info.original_code ELSE reward_model.ground_truth END AS t FROM training_rows, (VALUES ('o'), ('g')) v(f)
+  WHERE lower(trim(regexp_replace(extra_info.split, '\\s', ' ', 'g'))) IN ('train', 'validation', 'test')),
+"""
+_TRAIN = "(SELECT row_id FROM training_rows WHERE lower(trim(regexp_replace(extra_info.split, '\\s', ' ', 'g'))) = 'train')"
+
+QUERIES = {"p5_found": (p5_found, f"WITH {_TEXTS}{SHINGLES} SELECT a AS row_id_a, b AS row_id_b FROM near_pairs WHERE (a IN {_TRAIN}) <> (b IN {_TRAIN})"), "p5_report": (p5_report, None)}

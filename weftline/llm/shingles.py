@@ -40,14 +40,17 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+def runs(words: list[str]) -> np.ndarray:
+    """The 64-bit hash of each run of three words; none for fewer than three."""
+    if len(words) < 3:
+        return np.empty(0, np.uint64)
+    h = word_hashes(words)
+    return mix(h[:-2] * _A + (h[1:-1] ^ (h[1:-1] >> _S27)) * _B + mix(h[2:] * _C))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct shingle hashes (uint32); none for fewer than three words."""
-    if not text:
-        return np.empty(0, np.uint32)
-    h = word_hashes(WORDS(text.lower()))
-    if len(h) < 3:
-        return np.empty(0, np.uint32)
-    return np.unique((mix(h[:-2] * _A + (h[1:-1] ^ (h[1:-1] >> _S27)) * _B + mix(h[2:] * _C)) >> _S32).astype(np.uint32))
+    return np.unique((runs(WORDS((text or "").lower())) >> _S32).astype(np.uint32))
 
 
 def signature(tokens: np.ndarray) -> int:
