@@ -9,7 +9,8 @@ text goes only to the shards of evaluation texts with which it shares one of
 its rarest passages. This loses nothing: the passages of every text are put in
 one common order, rare ones first, and of two texts of n and m passages with
 similarity s or more, the first passage they share is among the first
-``n - ceil(s n) + 1`` of the one and the first ``m - ceil(s m) + 1`` of the other.
+``n - ceil(s n) + 1`` of the one and the first ``m - ceil(s m) + 1`` of the other,
+and how many of these they share bounds what they can share at all.
 The order needs the ``HOT`` most frequent passages only, counted in summaries of
 bounded size over all texts; any order is exact, a good one is fast. A frequent
 passage is split into parts by training text, so that none is joined in one task.
@@ -41,6 +42,8 @@ from .shingles import WORDS, mix, runs, signature
 SIMILARITY = 0.7
 TEXTS, PAIRS = 100, 2000  # evaluation texts in a shard, and pairs in a block of it
 HOT, SUMMARY = 65_536, 200_000  # passages that are ordered by frequency, and passages a task counts before it forgets rare ones
+FIELDS = ("original_code", "ground_truth")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 PART = 5_000  # texts with a frequent passage that meet in one task
 
 
@@ -110,7 +113,7 @@ def texts(df: DataFrame) -> DataFrame:
 
 
 def prefixes(records: DataFrame, similarity: float) -> DataFrame:
-    """``train``, ``cls``, ``n`` and ``route`` (passage with field and part, and its place in the common order) of each class."""
+    """``field`` (its number), ``train``, ``cls``, ``n`` and ``routes`` (the passages of the prefix, with field and part) of each class."""
     summary = records.where(F.col("id").isNull()).select(F.explode(F.arrays_zip("keys", "times")).alias("x")).groupBy("x.keys").agg(F.sum("x.times").alias("times"))
     top = summary.orderBy(F.desc("times"), "keys").limit(HOT).toPandas()  # HOT rows at most
     top = top.sort_values("keys")
@@ -118,44 +121,54 @@ def prefixes(records: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, times = held.value
-        salts = {"original_code": np.uint64(1), "ground_truth": np.uint64(2)}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out = []
-                for field, train, cls, words in zip(*(c.to_pylist() for c in part.columns)):
-                    tokens = np.unique(runs(words.split(" ")))
+                field, train, cls, words = (c.to_pylist() for c in part.columns)
+                routes, n = [], []
+                for f, mine, c, w in zip(field, train, cls, words):
+                    tokens = np.unique(runs(w.split(" ")))
                     often = np.zeros(len(tokens), np.int64)
                     if len(keys):
                         where = np.minimum(np.searchsorted(keys, tokens.view(np.int64)), len(keys) - 1)
                         often = np.where(keys[where] == tokens.view(np.int64), times[where], 0)
-                    order = np.lexsort((tokens, often))[: len(tokens) - math.ceil(similarity * len(tokens) - 1e-9) + 1]
-                    routes, places = [], []
+                    order = np.lexsort((tokens, often))[: prefix(len(tokens), similarity)]
+                    own = tokens[order] + np.uint64(FIELDS.index(f))
                     parts = 1 + often[order] // PART
-                    own = np.uint64(cls % 2**64)
-                    for place, (token, count) in enumerate(zip(tokens[order], parts)):
-                        mine = [int(own % np.uint64(count))] if train else range(int(count))
-                        routes += [token + salts.get(field, np.uint64(0)) + np.uint64(p) * np.uint64(0x9E3779B97F4A7C15) for p in mine] if count > 1 else [token + salts.get(field, np.uint64(0))]
-                        places += [place] * (len(mine) if count > 1 else 1)
-                    out.append((field, train, cls, len(tokens), mix(np.array(routes, np.uint64)).view(np.int64), np.array(places, np.int32)))
-                cols = list(zip(*out)) if out else [()] * 6
-                types = (pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["field", "train", "cls", "n", "routes", "places"])
+                    split = parts > 1
+                    if split.any():
+                        more = [t + _STEP * np.uint64(k) for t, count in zip(own[split], parts[split]) for k in ([c % int(count)] if mine else range(int(count)))]
+                        own = np.concatenate([own[~split], np.array(more, np.uint64)])
+                    routes.append(mix(own).view(np.int64))
+                    n.append(len(tokens))
+                ends = pa.array(np.cumsum([0, *map(len, routes)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(routes) if routes else [], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([FIELDS.index(f) for f in field], pa.int8()), pa.array(train, pa.bool_()), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), lists], ["field", "train", "cls", "n", "routes"])
 
-    one = records.where("first").select("field", "train", "cls", "words").mapInArrow(run, "field string, train boolean, cls long, n int, routes array<long>, places array<int>")
-    one = one.dropDuplicates(["field", "train", "cls"])
-    return one.select("field", "train", "cls", "n", F.explode(F.arrays_zip("routes", "places")).alias("x")).select("field", "train", "cls", "n", F.col("x.routes").alias("route"), F.col("x.places").alias("place"))
+    one = records.where("first").select("field", "train", "cls", "words").mapInArrow(run, "field byte, train boolean, cls long, n int, routes array<long>")
+    return one.dropDuplicates(["field", "train", "cls"])
+
+
+def prefix(n: int, similarity: float) -> int:
+    """Of how many of its ``n`` passages, in the common order, a similar text must share one."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
 
 def candidates(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct (field, e, t): classes of an evaluation and a training text that share a rare passage and whose sizes and places allow the similarity."""
+    """Distinct (field, e, t): classes of an evaluation and a training text that may be similar by their sizes and the prefixes they share.
+
+    Of two texts the prefix of one ends first in the common order; what they share
+    up to there is in both prefixes, and no more than its rest can follow.
+    """
     at = stored(prefixes(records, similarity), "prefixes")
-    e = at.where(~F.col("train")).select("route", "field", F.col("cls").alias("e"), F.col("n").alias("ne"), F.col("place").alias("pe"))
-    t = at.where("train").select("route", F.col("cls").alias("t"), F.col("n").alias("nt"), F.col("place").alias("pt"))
+    e = at.where(~F.col("train")).select(F.explode("routes").alias("route"), "field", F.col("cls").alias("e"), F.col("n").alias("ne"))
+    t = at.where("train").select(F.explode("routes").alias("route"), F.col("cls").alias("t"), F.col("n").alias("nt"))
     fit = F.least("ne", "nt") >= F.greatest("ne", "nt") * F.lit(similarity)
-    # at the first passage they share, all others that they share lie behind
-    reach = 1 + F.least(F.col("ne") - F.col("pe") - 1, F.col("nt") - F.col("pt") - 1) >= (F.col("ne") + F.col("nt")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    return e.join(t, "route").where(fit & reach).select("field", "e", "t").distinct()
+    met = e.join(t, "route").where(fit).groupBy("field", "e", "t").agg(F.count(F.lit(1)).alias("shared"), F.first("ne").alias("ne"), F.first("nt").alias("nt"))
+    rest = F.ceil(F.greatest("ne", "nt") * F.lit(similarity) - 1e-9) - 1
+    enough = F.col("shared") + rest >= (F.col("ne") + F.col("nt")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    name = F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + F.lit(1))
+    return met.where(enough).select(name.alias("field"), "e", "t")
 
 
 def scan(evaluation: list[tuple[int, str]], training: Iterator[tuple[int, str]], similarity: float) -> Iterator[tuple[int, int, float, float]]:
