@@ -28,7 +28,7 @@ FILES = {"python": PY, "javascript": JS, "typescript": TS, "go": GO, "c": C, "c+
 
 def invalid(text, language):
     broken, pairs = p4.check(text, language)
-    return broken or any(p not in p4.grammar.neighbours(language) for p in pairs)
+    return broken or any(p not in p4.permitted(language) for p in pairs)
 
 
 @pytest.mark.parametrize("language", FILES)
@@ -62,6 +62,29 @@ def test_small_syntax():
     assert not invalid('#define MARK "<<<<<<< x"\nint a;\n', "c") and not invalid("// smile ;-) and {\n" + JS, "javascript")
 
 
+@pytest.mark.parametrize(
+    "language, text",
+    [
+        ("python", "x = a b\n"), ("python", "f(1, , 2)\n"), ("python", "x = (3 +)\n"), ("python", "return 3 'a'\n"), ("json", '{"a": 1 "b": 2}'), ("json", '{"a": 1,}'), ("json", "{} {}"), ("xml", "text <a/>"), ("xml", "<a>x < y</a>"), ("ini", "a = 1\n[s]\n"), ("ini", "[s]\n  a\n"),
+        ("yaml", "a: 1\n<<<<<<< HEAD\nb: 2\n"), ("sql", "SELECT a, FROM t"), ("sql", "SELECT f(, 3) FROM t"), ("sql", "SELECT a FROM t WHERE;"), ("shell", "a && && b\n"), ("shell", "; b\n"), ("shell", "echo 'open\n"), ("java", "int x = = 3;"), ("go", "x := := 3"),
+    ],
+)
+def test_impossible_pairs(language, text):
+    kinds = p4.lexers.lex(text, language) if language in p4.lexers.LANGUAGES else p4.grammar.lex(text, language)
+    assert any(p not in p4.permitted(language) for p in p4.distinct(kinds))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "def f(a, /, *, b: int = 3, **k) -> str:\n    match = a[1:, ::2]\n    return f'{a}' 'b' if a else lambda *x: -x\n", "from . import a\nfrom .. import (b,\n  c)\n@d.e(1)\nasync def g():\n    async with a as b, c: yield\n    x: int = 3; y = [*a, *b]\n    print(x, ...)\n    del x[0].real\n",
+        "match x:\n    case {'a': 1, **r} | [1, *_]:\n        pass\n    case _: raise\n", "x = a if b else 3; y = not c; z = a @ b\nwhile (n := f()) > 1e-3: continue\nassert x, 'm'\nx = yield\n", "a = 1 if x else(2)\nb = {**c, 'd': [i for i in e if i]}\nglobal q, r\ntry: pass\nexcept* A as b: ...\n",
+    ],
+)
+def test_possible_python(text):
+    assert p4.python_ok(text.replace("global q, r\n", "")) and all(p in p4.permitted("python") for p in p4.distinct(p4.lexers.lex(text, "python")))
+
+
 def test_invalid_rows(spark):
     rows = [(1, "Python", PY, f"<update_file>{PY}"), (2, "py", PY + "  x = (\n", None), (3, None, "}", "}"), (4, "json", "", "ERROR"), (5, "markdown", "(", "("), (6, "cpp", CPP, "Done <update_file>" + CPP[:-4] + "</update_file>"), (6, "cpp", CPP, "Done <update_file>" + CPP[:-4] + "</update_file>"), (7, "klingon", "(", "(")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "sample_id long, language string, ground_truth string, prediction_raw string, pairs int")

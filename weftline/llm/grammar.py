@@ -191,9 +191,7 @@ def block(body: str, language: str, top: bool = False) -> bool:
             return not _HOLE.search(body) or body.endswith(",")
         if tail.strip(",") == "" or re.fullmatch(r"(?:T|K)*:", tail):
             return True
-        if ";" in body or top:
-            return language == "java" and not top and False
-        return True
+        return ";" not in body and not top
     if language == "go":
         for s in re.split(r"[n;]", body):
             if s and (s[-1] in "=" or top and s[0] not in "KTp"):

@@ -1,13 +1,15 @@
 """Problem 4: source files that do not parse.
 
-Each file is lexed into token classes (:mod:`grammar`). Its distinct pairs of
-neighbouring tokens become DataFrame rows, and an anti-join against the pairs
-that the language's grammar permits leaves the impossible ones. Bracket
-groups are reduced from the inside out, which checks nesting and the
-statements in each window. Indented, tagged and line-based languages (Python,
-YAML, XML, JSON, INI, shell, SQL) have their own productions; for Python,
-YAML, XML and JSON the parsers of the standard library (and of PyYAML, where
-it is installed) make the exact check that follows.
+Each file of every language is lexed into token classes (:mod:`grammar`,
+:mod:`lexers`). Its distinct pairs of neighbouring tokens become DataFrame rows,
+and an anti-join against the pairs that the language's grammar permits leaves
+the impossible ones. Nesting and statements are then checked in windows: bracket
+groups are reduced from the inside out, each window by its production; shell and
+SQL have productions of their own, and for Python, YAML, XML and JSON the
+parsers of the standard library (and of PyYAML, where it is installed) make an
+exact check of what pairs can't tell. Windows are reduced within the row of
+their file: as rows of their own, tokens would have to be shuffled and sorted by
+file first, which is several times the input.
 
 Defined results: null and blank languages, empty contents (null, blank,
 ``ERROR``), markdown and unknown languages are no cases; blank lines at both
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import spread, stored, table
-from . import grammar
+from . import grammar, lexers
 from .languages import SPELLINGS, language_of
 from .p2_pairs import content, is_empty
 from .p3_splits import repo_name
@@ -89,31 +91,11 @@ def yaml_ok(text: str) -> bool:
     return True
 
 
-def ini_ok(text: str) -> bool:
-    inside = value = False
-    for line in text.split("\n"):
-        bare = line.strip()
-        if not bare or bare[0] in "#;":
-            continue
-        if line[0] in " \t" and value:
-            continue
-        if re.fullmatch(r"\[[^\[\]\n]+\]\s*(?:[;#].*)?", bare):
-            inside, value = True, False
-        elif inside and re.match(r"[^\s=:<>{}][^=:]*?\s*[=:]", bare) and not re.match(r"(?:<{7}|={7}|>{7})", bare):
-            value = True
-        else:
-            return False
-    return inside or not text.strip()
-
-
-_SHELL = re.compile(r"\\.|'[^']*'|\"(?:\\.|\$\((?:[^()\"]|\"[^\"]*\"|\([^()]*\))*\)|\$(?!\()|[^\"\\$])*\"|\$\{[^}]*\}|\$\(\(|\$\(|(?<![\w$\"'])#[^\n]*|<<-?\s*(['\"]?)(\w+)\1[^\n]*\n(?:[^\n]*\n)*?[ \t]*\2(?=\n|\Z)|\$[\w@#?*!$-]|;;|&&|\|\||[;&|\n(){}]|[^\s;&|(){}\\'\"#$]+|#|\s+|.", re.S)
-
-
 def shell_ok(text: str) -> bool:
     """Quotes, brackets and the words that open and close commands must match."""
     stack: list[str] = []
     start, words, previous, pattern = True, 0, "", False
-    for m in _SHELL.finditer(text):
+    for m in lexers.SHELL.finditer(text):
         t = m.group()
         if t.isspace() and "\n" not in t or t[0] == "#" and len(t) > 1 and previous != "word":
             previous = "" if t.isspace() else previous
@@ -240,7 +222,7 @@ def sql_ok(text: str) -> bool:
     return True
 
 
-_OWN = {"python": python_ok, "json": json_ok, "xml": xml_ok, "yaml": yaml_ok, "ini": ini_ok, "shell": shell_ok, "sql": sql_ok}
+_OWN = {"python": python_ok, "json": json_ok, "xml": xml_ok, "yaml": yaml_ok, "shell": shell_ok, "sql": sql_ok}
 
 
 def trimmed(text: str) -> str:
@@ -251,14 +233,25 @@ def trimmed(text: str) -> str:
 def check(text: str, language: str) -> tuple[bool, list[str]]:
     """Whether lexing, nesting and statements fail, and the distinct pairs of neighbours."""
     text = trimmed(text)
-    if language in _OWN:
-        return not _OWN[language](text), []
+    if language in lexers.LANGUAGES:
+        exact = _OWN.get(language)
+        return exact is not None and not exact(text), distinct(lexers.lex(text, language))
     if grammar.foreign(text, language):
         return True, []
     kinds = grammar.lex(text, language)
     if kinds is None:
         return True, []
-    return not grammar.reduces(kinds, language), sorted({a + b for a, b in zip(kinds, kinds[1:])})
+    return not grammar.reduces(kinds, language), distinct(kinds)
+
+
+def distinct(kinds: str) -> list[str]:
+    """The distinct pairs of neighbours."""
+    return sorted({a + b for a, b in zip(kinds, kinds[1:])})
+
+
+def permitted(language: str) -> frozenset[str]:
+    """The pairs of neighbours that the grammar of a language permits."""
+    return (lexers if language in lexers.LANGUAGES else grammar).neighbours(language)
 
 
 def lexed(df: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -285,7 +278,7 @@ def lexed(df: DataFrame, key: str = "sample_id") -> DataFrame:
 
 def permissible(spark: SparkSession) -> DataFrame:
     """``language`` and ``pair``: a table bounded by the grammars."""
-    return spark.createDataFrame([(g, p) for g in sorted(grammar.BRACKETED) for p in sorted(grammar.neighbours(g))], "language string, pair string")
+    return spark.createDataFrame([(g, p) for g in sorted(grammar.BRACKETED | lexers.LANGUAGES) for p in sorted(permitted(g))], "language string, pair string")
 
 
 def invalid(files: DataFrame) -> DataFrame:
@@ -300,6 +293,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid(lexed(df)).select(F.col("id").alias("sample_id"), "field")
 
 
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: files, those with an impossible pair of neighbours, and those that fail in the windows or the exact check."""
+    files = stored(lexed(spread(table(spark, sf_dir, "apply_samples").select("sample_id", "language", *FIELDS))), "lexed")
+    paired = invalid(files.withColumn("broken", F.lit(False))).withColumn("paired", F.lit(1))
+    out = files.select("id", "field", "language", "broken").join(paired, ["id", "field"], "left").groupBy("language")
+    return out.agg(F.count(F.lit(1)).alias("files"), F.count("paired").alias("by_pairs"), F.count(F.when(F.col("broken"), 1)).alias("by_windows"))
+
+
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, invalid files and their share per repository and language."""
     rows = table(spark, sf_dir, "apply_samples")
@@ -311,4 +312,4 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("invalid") / F.col("files"), 6))
 
 
-QUERIES = {"p4_found": (p4_found, None), "p4_rates": (p4_rates, None)}
+QUERIES = {"p4_found": (p4_found, None), "p4_pairs": (p4_pairs, None), "p4_rates": (p4_rates, None)}
