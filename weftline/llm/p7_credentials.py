@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ..runtime import spread, stored, table
 
 KEPT = 4  # short quoted names before a value that can be its keys
+UNIT = 1000  # parts of a character in counts
 WEIGHT = 64  # characters that a value counts for at most in the Markov model
 LEAST = 4  # characters of a value
 SAMPLE = 3000  # rows that the regression is trained on
@@ -68,7 +69,7 @@ _PLAIN = re.compile(r"^[a-z]+(?:[-_./ ][a-z]+)*(?:[-_./ ]?\d+)?$|^[a-z]+(?:[A-Z]
 _COMMENT = re.compile(r"^\s*(?://|#(?!define)|--|/\*|\*|<!--|;|\"\"\")")
 _TEST = re.compile(r"(?i)(?:^|[/_.-])(?:tests?|spec|fixtures?|examples?|docs?|samples?)(?:[/_.-]|$)")
 _CONFIG = re.compile(r"(?i)\.(?:ya?ml|json|ini|cfg|conf|env|properties|toml|xml|md|sh)$")
-FEATURES = "markov entropy length digits upper symbols space known login header strong broad benign stand_in uuid hex plain comment quoted test config".split()
+FEATURES = "markov entropy length digits upper symbols space known login header strong broad benign stand_in uuid hex plain comment quoted test config named hinted shaped".split()
 
 _REFERS, _UUID_AT = FEATURES.index("stand_in"), FEATURES.index("uuid")
 
@@ -132,12 +133,16 @@ def describe(line: str, start: int, end: int, kind: str, before: str, path: str,
     value = line[start:end]
     names = " ".join(w.lower() for w in _NAMES.findall(before.rpartition(";")[2]))  # of the same statement
     n = max(1, len(value))
-    return [
+    row = [
         markov(value) / 8, entropy(value) / 5, min(n, 64) / 32, sum(c.isdigit() for c in value) / n, sum(c.isupper() for c in value) / n,
         sum(not c.isalnum() for c in value) / n, float(" " in value), float(kind == "known" or bool(_KNOWN_RE.match(value))), float(kind == "login"), float(kind == "header"),
         float(bool(_STRONG.search(names))), float(bool(_BROAD.search(names))), float(bool(_BENIGN.search(names))), float(bool(_STAND_IN.search(value))), float(bool(_UUID.match(value))),
         float(bool(_HEX.match(value))), float(bool(_PLAIN.match(value))), float(bool(_COMMENT.match(line))), float(kind == "quoted"), float(bool(_TEST.search(path))), float(bool(_CONFIG.search(path))),
     ]
+    # a name counts otherwise beside a harmless one, and a shape of its own beside none
+    strong, broad, benign = row[10:13]
+    row += [float(strong and not benign), float(broad and not benign), float(kind in ("known", "login", "header"))]
+    return [round(v, 9) for v in row]  # alike in any order of additions
 
 
 def weak_label(x: list[float]) -> int | None:
@@ -159,11 +164,12 @@ def weak_label(x: list[float]) -> int | None:
 class Logistic:
     """L2-regularised logistic regression by Newton steps, with Platt calibration by folds."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.05):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.05, folds: int = 10):
         self.w = self._fit(x, y, ridge)
         held = np.zeros(len(y))
-        for k in range(3):
-            out = np.arange(len(y)) % 3 == k
+        at = np.arange(len(y))[np.lexsort(x.T)].argsort() % folds  # by the rows' own order, not that of the table
+        for k in range(folds):
+            out = at == k
             held[out] = self._raw(x[out], self._fit(x[~out], y[~out], ridge))
         self.scale = self._fit(held[:, None], y, 0.01)
 
@@ -251,7 +257,7 @@ def train(df: DataFrame, key: str = "sample_id", sample: int = SAMPLE) -> Detect
     bound = df.select(rank.alias("rank")).orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts, long = Counter(), Counter()
         names = ["p", "n", "path", "line"]
         for batch in batches:
             lines = set()
@@ -259,19 +265,23 @@ def train(df: DataFrame, key: str = "sample_id", sample: int = SAMPLE) -> Detect
                 for text in texts:
                     for m in _VALUE.finditer(text or ""):
                         v = m.group("s") or m.group("u") or m.group("x")
-                        weight = min(1.0, WEIGHT / len(v))  # long data don't outweigh all else
-                        for pair in zip(v, v[1:]):
-                            counts[pair] += weight
+                        if len(v) <= WEIGHT:
+                            counts.update(zip(v, v[1:]))
+                        else:  # long data don't outweigh all else; whole numbers add up alike in any order
+                            for pair, n in Counter(zip(v, v[1:])).items():
+                                long[pair] += n * WEIGHT * UNIT // len(v)
                     if picked and text:
                         lines |= {(path, line) for line in text.split("\n") if _TRIGGER.search(line) and not _PEM.search(line)}
             a, b = zip(*sorted(lines, key=str)) if lines else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.string()), pa.nulls(len(a), pa.float64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names)
-        items = [(a + b, n) for (a, b), n in counts.items() if 32 <= ord(a) < 127 and 32 <= ord(b) < 127]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in items], pa.string()), pa.array([n for _, n in items], pa.float64()), pa.nulls(len(items), pa.string()), pa.nulls(len(items), pa.string())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.string()), pa.nulls(len(a), pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names)
+        for pair, n in counts.items():
+            long[pair] += n * UNIT
+        items = [(a + b, n) for (a, b), n in long.items() if 32 <= ord(a) < 127 and 32 <= ord(b) < 127]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64()), pa.nulls(len(items), pa.string()), pa.nulls(len(items), pa.string())], names)
 
-    seen = stored(df.select((rank <= F.lit(bound)).alias("picked"), "path", *FIELDS).mapInArrow(read, "p string, n double, path string, line string"), "lines")
+    seen = stored(df.select((rank <= F.lit(bound)).alias("picked"), "path", *FIELDS).mapInArrow(read, "p string, n long, path string, line string"), "lines")
     counted = seen.where(F.col("p").isNotNull()).groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most 95 * 95
-    markov = Markov({(r[0][0], r[0][1]): r[1] for r in counted})
+    markov = Markov({(r[0][0], r[0][1]): r[1] / UNIT for r in counted})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
