@@ -15,7 +15,7 @@ tiktoken = pytest.importorskip("tiktoken")
 
 @pytest.fixture(scope="module")
 def coder():
-    return bpe.transducer(bpe.vocabulary_path())
+    return bpe.transducer(bpe.read_vocabulary(bpe.vocabulary_path()))
 
 
 @pytest.fixture(scope="module")
@@ -46,13 +46,13 @@ def test_any_tokens_in_pieces(coder, ids):
 
 
 def test_long_runs_and_forgetting(plain):
-    small = bpe.Transducer(bpe.vocabulary_path(), max_states=200, max_memo=50)
+    small = bpe.Transducer(bpe.read_vocabulary(bpe.vocabulary_path()), max_states=200, max_memo=50)
     for text in ("a" * 5000, "ab" * 4000, "0123456789" * 500, " " * 3000, "é" * 1000, "<|endoftext|>", "word " * 300):
         assert small.encode(text) == plain.encode_ordinary(text)
 
 
 def test_other_vocabulary():
-    multi = bpe.transducer(bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+    multi = bpe.transducer(bpe.read_vocabulary(bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken")))
     own = tiktoken.Encoding("m", pat_str=bpe.PATTERN, mergeable_ranks=multi.ranks, special_tokens={})
     for text in ("Größe und Länge", "работа с буфером", "ab  cd\n\n e", "数据"):
         assert multi.encode(text) == own.encode_ordinary(text)

@@ -13,6 +13,7 @@ when first met and kept.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterable, Iterator
 
 import regex
@@ -32,11 +33,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 class Transducer:
-    """Encodes text by a rank file; results equal greedy lowest-rank merging."""
+    """Encodes text by the content of a rank file; results equal greedy lowest-rank merging."""
 
-    def __init__(self, path: str, max_states: int = 400_000, max_memo: int = 400_000):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(r) for a, r in (line.split() for line in f if line.strip())}
+    def __init__(self, vocabulary: bytes, max_states: int = 400_000, max_memo: int = 400_000):
+        self.ranks = {base64.b64decode(a): int(r) for a, r in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.bytes_of = {r: b for b, r in self.ranks.items()}
         self.starts = {b[:k] for b in self.ranks for k in range(1, len(b) + 1)}
         self.max_states, self.max_memo = max_states, max_memo
@@ -237,11 +237,18 @@ class Utf8:
         return "�" if left else ""
 
 
-_LOADED: dict[str, Transducer] = {}
+def read_vocabulary(path: str) -> bytes:
+    """A rank file, read where the driver runs; executors get it by broadcast."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
-def transducer(path: str) -> Transducer:
+_LOADED: dict[int, Transducer] = {}
+
+
+def transducer(vocabulary: bytes) -> Transducer:
     """One transducer for each vocabulary and worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Transducer(path)
-    return _LOADED[path]
+    key = zlib.crc32(vocabulary)
+    if key not in _LOADED:
+        _LOADED[key] = Transducer(vocabulary)
+    return _LOADED[key]

@@ -1,7 +1,8 @@
 """Problem 8: encoding a whole corpus with a public tokenizer.
 
 ``encode`` runs each text through the transducer of :mod:`bpe`, in Arrow
-batches, without a shuffle. Defined results: a null text gives null, an empty
+batches, without a shuffle. The vocabulary is read on the driver and broadcast,
+so executors need no file. Defined results: a null text gives null, an empty
 text an empty list; any text length is processed whole; texts that contain the
 strings of special tokens are ordinary text; an empty table gives no rows;
 repeated rows come out repeated; other columns are dropped, so clashing names
@@ -18,15 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import spread, table
-from .bpe import transducer, vocabulary_path
+from .bpe import read_vocabulary, transducer, vocabulary_path
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``key`` and ``ids``, the token ids of ``text``."""
-    path = vocabulary or vocabulary_path()
+    held = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary or vocabulary_path()))  # one vocabulary, under 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = transducer(path)
+        coder = transducer(held.value)
         for batch in batches:
             flat, ends, nulls = array("i"), array("i", [0]), []
             for value in batch.column(1):
@@ -45,10 +46,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``key`` and ``n_tokens``: as ``encode``, but only the number; null for a null text."""
-    path = vocabulary or vocabulary_path()
+    held = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary or vocabulary_path()))  # one vocabulary, under 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = transducer(path)
+        coder = transducer(held.value)
         for batch in batches:
             n = [None if v is None else len(coder.encode(v)) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["k", "n"])
@@ -60,10 +61,10 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
 
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """``key`` and ``text``: the inverse, by the incremental UTF-8 machine; null stays null."""
-    path = vocabulary or vocabulary_path()
+    held = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary or vocabulary_path()))  # one vocabulary, under 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = transducer(path)
+        coder = transducer(held.value)
         for batch in batches:
             texts = [None if v is None else coder.decode(v) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["k", "t"])

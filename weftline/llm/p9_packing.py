@@ -18,14 +18,12 @@ order of hash; an empty table gives no rows; other columns are dropped.
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, spread, table
+from ..runtime import spread, stored, table
 from .p8_encoding import count_tokens
 from .ranking import number_within
 
@@ -137,20 +135,23 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
     ``sizes`` has ``key`` and ``n_tokens``. ``slot`` counts the pieces in the
     container, ``position`` the tokens before this one.
     """
-    parts = cut(pieces(sizes, key, capacity))
+    parts = stored(pieces(sizes, key, capacity), "pieces")
     hist = {r[0]: r[1] for r in parts.groupBy("n_tokens").count().collect()}  # at most `capacity` rows
     segments = parts.sparkSession.sparkContext.broadcast(_segments(plan(hist, capacity), 0))  # bounded like the histogram
 
     @F.pandas_udf("container long, slot int, position int")
     def place(n: pd.Series, nth: pd.Series) -> pd.DataFrame:
-        of, rows = segments.value, []
-        for length, number in zip(n, nth):
-            begins, what = of[length]
-            i = bisect.bisect_right(begins, number) - 1
-            container, c, slot, at = what[i]
-            whole, rest = divmod(number - begins[i], c)
-            rows.append((container + whole, slot + rest, at + rest * length))
-        return pd.DataFrame(rows, columns=["container", "slot", "position"])
+        length, number = n.to_numpy(), nth.to_numpy()
+        out = np.zeros((len(n), 3), np.int64)
+        for one in np.unique(length):  # `capacity` lengths at most
+            begins, what = segments.value[int(one)]
+            rows = np.flatnonzero(length == one)
+            begins, what = np.array(begins), np.array(what)
+            at = np.searchsorted(begins, number[rows], side="right") - 1
+            container, c, slot, position = what[at].T
+            whole, rest = np.divmod(number[rows] - begins[at], c)
+            out[rows] = np.stack([container + whole, slot + rest, position + rest * one], axis=1)
+        return pd.DataFrame(out, columns=["container", "slot", "position"])
 
     numbered = number_within(parts, "n_tokens", [key, "piece"])
     return numbered.withColumn("at", place("n_tokens", "nth")).select(key, "piece", "token_start", "n_tokens", "at.container", "at.slot", "at.position")
@@ -158,7 +159,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
 
 def bucket_batches(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, buckets: int = 16) -> DataFrame:
     """The method named: ``key``, ``piece``, ``bound``, ``batch``, ``slot``; a batch holds ``capacity // bound`` pieces."""
-    parts = cut(pieces(sizes, key, capacity))
+    parts = stored(pieces(sizes, key, capacity), "pieces")
     hist = {r[0]: r[1] for r in parts.groupBy("n_tokens").count().collect()}  # at most `capacity` rows
     bounds = length_buckets(hist, buckets) or [capacity]
     bound = F.element_at(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= F.col("n_tokens")), 1)

@@ -6,27 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_within(df: DataFrame, key: str, order: list[str], spread: int = 64, name: str = "nth") -> DataFrame:
+PART = 100_000  # rows of a key that are sorted in one task
+
+
+def number_within(df: DataFrame, key: str, order: list[str], part: int = PART, name: str = "nth") -> DataFrame:
     """``name``: 0, 1, ... within ``key``, the same in every run.
 
-    Each key is spread over ``spread`` parts by a hash of ``order``; parts are
-    numbered by themselves and shifted by the sizes of the parts before. So one
-    key that holds a third of all rows is sorted in ``spread`` pieces. ``order``
-    must tell rows apart; repeated rows get any of their common numbers.
+    The rows of each key are spread over as many parts of about ``part`` rows as
+    its count asks for, by a hash of ``order``; parts are numbered by themselves and
+    shifted by the sizes of the parts before. ``order`` must tell rows apart;
+    repeated rows get any of their common numbers. ``df`` is read twice, so it
+    should be stored.
     """
-    df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
-    sizes = df.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(key, "_part").orderBy(*order)
+    fine = F.pmod(F.xxhash64(*order), F.lit(_FINE)).cast("int")
+    per = df.groupBy(key, fine.alias("_fine")).agg(F.count(F.lit(1)).alias("_n"))  # at most _FINE rows a key
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.ceil(F.sum("_n").over(whole) / part)
+    # neighbouring hash ranges form a part
+    ranges = per.select(key, "_fine", "_n", F.floor(F.col("_fine") * parts / _FINE).alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    shifts = ranges.withColumn("_shift", F.min("_before").over(Window.partitionBy(key, "_part"))).select(key, "_fine", "_part", "_shift")
+    inside = Window.partitionBy(key, "_part").orderBy("_fine", *order)
     return (
-        df.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(shifts, [key, "_part"])
-        .withColumn(name, (F.col("_in") + F.col("_shift")).cast("long"))
-        .drop("_part", "_in", "_shift")
+        df.withColumn("_fine", fine)
+        .join(shifts, [key, "_fine"])
+        .withColumn(name, (F.row_number().over(inside) - 1 + F.col("_shift")).cast("long"))
+        .drop("_fine", "_part", "_shift")
     )
 
 
+_FINE = 4096
+
+
 def running_total(df: DataFrame, weight: str, order: Column, name: str = "total", bits: int = 12) -> DataFrame:
     """``name``: the sum of ``weight`` over all rows up to this one in ``order``.
 
