@@ -14,6 +14,7 @@ import json
 import re
 import xml.etree.ElementTree as ET
 from functools import cache
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,12 +108,18 @@ LEXERS = {"shell": "bash", "c++": "cpp", "csharp": "csharp"}
 
 
 def token_equal(a: str, b: str, language: str | None) -> bool:
-    """The same tokens, blanks aside, so indentation doesn't count; without a lexer the stripped texts."""
+    """The same tokens, blanks aside, so indentation doesn't count; without a lexer the stripped texts.
+
+    Tokens that aren't blank make up all other characters in order, so texts that
+    differ in these can't be equal and aren't lexed; else both are lexed until the first difference.
+    """
     lexer = _lexer(LEXERS.get(language, language)) if language else None
     if lexer is None:
         return _bare_equal(a, b)
-    tokens = lambda s: [(k, v) for k, v in lexer.get_tokens(s) if v.strip()]
-    return tokens(a) == tokens(b)
+    if "".join(a.removeprefix("\ufeff").split()) != "".join(b.removeprefix("\ufeff").split()):
+        return False
+    tokens = lambda s: ((k, v) for k, v in lexer.get_tokens(s) if v.strip())
+    return all(x == y for x, y in zip_longest(tokens(a), tokens(b)))
 
 
 _BY_PARSE = {"json": json_equal, "yaml": yaml_equal, "xml": xml_equal, "html": html_equal, "ini": ini_equal}
@@ -144,13 +151,12 @@ def form_equal(a: Column, b: Column, language: Column) -> Column:
 def score(df: DataFrame, prediction: str, truth: str, language: str, clean: bool = False, name: str = "score") -> DataFrame:
     """``df`` with ``name``, 1.0 where the prediction equals the truth, else 0.0.
 
-    The rows that SQL decides never reach Python: the two branches are filtered
-    apart, because nothing else keeps Spark from evaluating the function first.
+    One pass: the function gets nulls for the rows that SQL has decided, so their
+    texts are neither sent to Python nor scanned again.
     ``clean`` deletes all markers before the wrapper is stripped.
     """
     got = T.marker_clean(prediction) if clean else F.col(prediction)
     df = df.withColumns({"_a": T.newlines(T.wrapper_strip(got)), "_b": T.newlines(truth), "_g": T.language(language)})
     df = df.withColumn("_known", form_equal(F.col("_a"), F.col("_b"), F.col("_g")))
-    sure = df.where(F.col("_known").isNotNull()).withColumn(name, F.col("_known").cast("double"))
-    rest = df.where(F.col("_known").isNull()).withColumn(name, _same("_a", "_b", "_g").cast("double"))
-    return sure.unionByName(rest).drop("_a", "_b", "_g", "_known")
+    open_ = lambda c: F.when(F.col("_known").isNull(), F.col(c))
+    return df.withColumn(name, F.coalesce("_known", _same(open_("_a"), open_("_b"), open_("_g"))).cast("double")).drop("_a", "_b", "_g", "_known")

@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 REACH, BUFFER, FAR = 30, 3, 30  # lines around an anchor, around an edit, and from where a match is misplaced
 PATCH_PENALTY, SIDE_PENALTY = 0.25, 0.35
+#: How many of a signature's places count, and how many edits and strays a summary shows.
+SPOTS, SHOWN_EDITS, SHOWN_STRAYS = 50, 50, 30
 
 #: A line of these characters alone tells nothing.
 _NOISE = re.compile(r"^[{}\[\]();,:+\-*/=<>|&!.]+$")
@@ -108,13 +110,16 @@ def summary(original: str, truth: str, prediction: str) -> dict:
         if n and e["id"] not in near and coverage(e["new"], p) < 0.2:
             missing.append(e["id"])
         marks = set(e["signature"])
-        spots = [i for i, x in enumerate(p) if x.strip() in marks][:50] if marks else []
+        spots = [i for i, x in enumerate(p) if x.strip() in marks][:SPOTS] if marks else []
         # within reach is near; beyond it, from FAR lines on, the edit is in the wrong place
         if spots and min(abs(i - anchor) for i in spots) > REACH:
             misplaced.append(e["id"])
+    edit = lambda e: {"id": e["id"], "tag": e["tag"], "start": e["start"], "end": e["end"], "signature": e["signature"][:3], "old": e["old"][:5], "new": e["new"][:5]}
+    strays = [c for c in changed if not touches(c[1], c[2], windows)]
     return {
         "no_op_score": matcher.ratio() if a or p else 1.0, "patch_match_score": weighted / total if total else 1.0, "expected_edit_count": len(edits), "actual_edit_count": len(changed),
         "side_effect_opcode_count": len(changed) - inside, "patch_area_opcode_count": inside, "missing": missing, "near_miss": near, "misplaced": misplaced, "windows": windows,
+        "expected_edits": [edit(e) for e in edits[:SHOWN_EDITS]], "side_effects": [dict(zip(("tag", "i1", "i2", "j1", "j2"), c)) for c in strays[:SHOWN_STRAYS]],
     }
 
 
@@ -137,6 +142,8 @@ FEATURES = StructType(
     + [StructField(c, _I) for c in ("expected_edit_count", "actual_edit_count", "side_effect_opcode_count", "patch_area_opcode_count")]
     + [StructField(c, _IDS) for c in ("missing", "near_miss", "misplaced")]
     + [StructField("windows", ArrayType(StructType([StructField("start", _I), StructField("end", _I)])))]
+    + [StructField("expected_edits", ArrayType(StructType([StructField("id", _I), StructField("tag", StringType()), StructField("start", _I), StructField("end", _I), *(StructField(c, ArrayType(StringType())) for c in ("signature", "old", "new"))])))]
+    + [StructField("side_effects", ArrayType(StructType([StructField("tag", StringType()), *(StructField(c, _I) for c in ("i1", "i2", "j1", "j2"))])))]
 )
 
 
@@ -149,6 +156,13 @@ def diff_features(original: pd.Series, truth: pd.Series, prediction: pd.Series)
     return frame
 
 
+def compact(f: Column) -> Column:
+    """The figures of :func:`diff_features` for a judge's prompt, with five edits and ten strays."""
+    names = ("no_op_score", "patch_match_score", "expected_edit_count", "actual_edit_count", "side_effect_opcode_count", "patch_area_opcode_count")
+    ids = {"missing_expected_edit_ids": "missing", "near_miss_expected_edit_ids": "near_miss", "misplaced_expected_edit_ids": "misplaced"}
+    return F.struct(*[f[c].alias(c) for c in names], *[f[c].alias(k) for k, c in ids.items()], F.slice(f["expected_edits"], 1, 5).alias("expected_edits_preview"), F.slice(f["side_effects"], 1, 10).alias("side_effect_opcodes_preview"))
+
+
 @F.pandas_udf(StructType([StructField("patch", _I), StructField("side", _I)]))
 def line_error_counts(snippet: pd.Series, truth: pd.Series, prediction: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([line_errors(s, a or "", p or "") for s, a, p in zip(snippet, truth, prediction)], columns=["patch", "side"])

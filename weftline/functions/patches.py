@@ -203,8 +203,8 @@ def replace(content: str, old: str, new: str, everywhere: bool = False) -> str:
 def _shaped(value: object) -> bool:
     """Whether a value looks like a patch."""
     if isinstance(value, dict):
-        return "edits" in value or "oldString" in value
-    return isinstance(value, list) and bool(value) and all(isinstance(x, dict) and "oldString" in x for x in value)
+        return _shaped(value["edits"]) if isinstance(value.get("edits"), list) else "edits" not in value and {"oldString", "newString"} <= value.keys()
+    return isinstance(value, list) and bool(value) and all(isinstance(x, dict) and "oldString" in x and "newString" in x for x in value)
 
 
 def find_json(text: str) -> object:

@@ -12,9 +12,36 @@ ERRORS = ("OUTPUT_INVALID", "PATCH_NOT_APPLIED", "PATCH_INCOMPLETE", "PATCH_INCO
 VERDICTS = ("correct", "incorrect", "needs_review")
 
 
-def error_types(spark: SparkSession) -> DataFrame:
-    """The classes as a table."""
-    return spark.createDataFrame([(e,) for e in ERRORS], "error_type string")
+#: What each class means, for judges and reports.
+MEANING = {
+    "OUTPUT_INVALID": "the answer is no complete file: wrapper missing, text around it, placeholders left in it, or it does not parse",
+    "PATCH_NOT_APPLIED": "the answer is the original, or all but the same",
+    "PATCH_INCOMPLETE": "some of the wanted edits are missing",
+    "PATCH_INCORRECT": "the wanted place was edited, but not as wanted",
+    "WRONG_POSITION": "a wanted edit stands in another place",
+    "OUT_OF_PATCH_SIDE_EFFECT": "lines that no wanted edit covers were changed",
+}
+
+
+def error_types(spark: SparkSession, rubric: bool = False) -> DataFrame:
+    """The classes as a table, with their meaning on demand."""
+    return spark.createDataFrame([(e, MEANING[e]) for e in ERRORS], "error_type string, meaning string") if rubric else spark.createDataFrame([(e,) for e in ERRORS], "error_type string")
+
+
+def error_reply(reply: Column | str) -> Column:
+    """C11: struct(error_type, confidence, reason_brief, error) of a judge's JSON reply on the class of an error.
+
+    The type must be one of the six as written; the confidence is clamped to 0 to 1,
+    0.5 where it is none; of the reasons three of 300 characters are kept.
+    """
+    v = T.json_object(reply)
+    kind = F.try_variant_get(v, "$.error_type", "string")
+    text = F.coalesce(F.col(reply) if isinstance(reply, str) else reply, F.lit(""))
+    error = F.when(text == "", "empty_llm_response").when(v.isNull(), "llm_json_parse_failed").when(kind.isNull() | ~kind.isin(*ERRORS), F.concat(F.lit("llm_invalid_error_type: "), F.coalesce(kind, F.lit("None"))))
+    reasons = F.transform(F.slice(F.coalesce(F.try_variant_get(v, "$.reason_brief", "array<string>"), F.array().cast("array<string>")), 1, 3), lambda x: F.left(x, F.lit(300)))
+    good = error.isNull()
+    confidence = T.confidence(F.try_variant_get(v, "$.confidence", "string"))
+    return F.struct(F.when(good, kind).alias("error_type"), F.when(good, confidence).alias("confidence"), F.when(good, reasons).alias("reason_brief"), error.alias("error"))
 
 
 def gate(raw: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -33,8 +33,8 @@ def pivot(scored: DataFrame, models: list[str]) -> DataFrame:
 
 
 def markdown(table: DataFrame, first: str, columns: list[str], last: str = "Average") -> DataFrame:
-    """K9: the lines of a Markdown table as (``nth``, ``line``): header, rule, rows by name, the average last."""
-    cell = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", F.col(c) * 100)).otherwise("")
+    """K9: the lines of a Markdown table as (``part``, ``name``, ``line``): header, rule, rows by name, the average last; halves are rounded to even."""
+    cell = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", F.bround(F.col(c) * 100, 2))).otherwise("")
     row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col(first), *map(cell, columns)), F.lit(" |"))
     spark = table.sparkSession
     head = [(0, "", "| " + " | ".join([first, *columns]) + " |"), (1, "", "|" + "---|" * (len(columns) + 1))]
@@ -44,10 +44,16 @@ def markdown(table: DataFrame, first: str, columns: list[str], last: str = "Aver
 
 def error_ratios(classified: DataFrame, types: DataFrame) -> DataFrame:
     """``error_type``, ``n``, ``ratio``: all classes, also those that don't occur, and any other name."""
-    counts = classified.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
-    every = types.join(counts, "error_type", "full").select("error_type", F.coalesce("n", F.lit(0)).alias("n"))
-    whole = total(every, "n")
-    return every.select("error_type", "n", F.round(F.col("n") / whole if whole else F.lit(0.0), 6).alias("ratio"))
+    return error_ratios_by(classified.withColumn("source", F.lit("final")), types, ["final"]).drop("source")
+
+
+def error_ratios_by(classified: DataFrame, types: DataFrame, sources: list[str]) -> DataFrame:
+    """``source`` (final, rule, llm), ``error_type``, ``n``, ``ratio`` within the source; a null type counts nowhere."""
+    counts = classified.where(F.col("error_type").isNotNull()).groupBy("source", "error_type").agg(F.count(F.lit(1)).alias("n"))
+    every = types.select("error_type").withColumn("source", F.explode(F.array(*map(F.lit, sources))))
+    out = every.join(counts, ["source", "error_type"], "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = F.sum("n").over(Window.partitionBy("source"))  # a row per source and type
+    return out.select("source", "error_type", "n", F.round(F.when(whole > 0, F.col("n") / whole).otherwise(0.0), 6).alias("ratio"))
 
 
 def pass_rates(judged: DataFrame, passed: Column) -> DataFrame:

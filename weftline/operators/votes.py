@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,17 @@ def thresholds(hist: DataFrame, models: DataFrame, least: int = 5) -> DataFrame:
 def rejected(votes: DataFrame, limits: DataFrame) -> DataFrame:
     """Samples with at least as many votes as their language's threshold."""
     return votes.join(F.broadcast(limits), "language").where(F.col("votes") >= F.col("threshold")).select("language", "index", "votes")
+
+
+def by_votes(votes: DataFrame, models: int, shown: int = 50, least: int = 4) -> DataFrame:
+    """``language``, ``votes``, ``share`` of the models in percent, ``samples`` and ``shown``: their first ids, for counts of at least ``least``.
+
+    Ids are ranked before they are gathered, so a group sends no more than ``shown``; 0 shows all.
+    """
+    groups = votes.groupBy("language", "votes").agg(F.count(F.lit(1)).alias("samples"))
+    listed = votes.where(F.col("votes") >= least)
+    if shown:
+        listed = listed.withColumn("nth", F.row_number().over(Window.partitionBy("language", "votes").orderBy("index"))).where(F.col("nth") <= shown)
+    ids = listed.groupBy("language", "votes").agg(F.sort_array(F.collect_list("index")).alias("shown"))
+    share = F.round(F.col("votes") * 100.0 / models, 1) if models > 0 else F.lit(0.0)
+    return groups.join(ids, ["language", "votes"], "left").select("language", "votes", share.alias("share"), "samples", "shown")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_queries, more_queries, score_queries, text_queries
+from . import data_queries, judge_queries, more_queries, score_queries, text_queries
 
-_ENTRIES: dict = {**data_queries.QUERIES, **score_queries.QUERIES, **more_queries.QUERIES, **text_queries.QUERIES}
+_ENTRIES: dict = {**data_queries.QUERIES, **score_queries.QUERIES, **more_queries.QUERIES, **text_queries.QUERIES, **judge_queries.QUERIES}
 
 
 def queries() -> dict:

@@ -111,7 +111,15 @@ _CELLS = ", ".join(f"round(avg(CASE WHEN model = '{m}' THEN score END), 6) AS {m
 
 
 def markdown_report(spark, d):
-    return A.markdown(A.pivot(_votes_in(spark, d), list(MODELS)), "language", list(MODELS)).select("part", "name", F.length("line").alias("chars"))
+    return A.markdown(A.pivot(_votes_in(spark, d), list(MODELS)), "language", list(MODELS))
+
+
+_LINE = " || ' | ' || ".join(f"coalesce(printf('%.2f%%', {m} * 100), '')" for m in MODELS)
+_REPORT_SQL = f"""
+SELECT CASE WHEN language = 'Average' THEN 3 ELSE 2 END AS part, language AS name, '| ' || language || ' | ' || {_LINE} || ' |' AS line
+FROM (SELECT CASE WHEN grouping(language) = 1 THEN 'Average' ELSE language END AS language, {_CELLS} FROM {_VOTES_IN} GROUP BY ROLLUP (language))
+UNION ALL SELECT 0, '', '| language | {' | '.join(MODELS)} |' UNION ALL SELECT 1, '', '|{'---|' * (len(MODELS) + 1)}'
+"""
 
 
 def errors_list(spark, d):
@@ -451,7 +459,7 @@ QUERIES = {
     "drop_voted": (drop_voted, f"SELECT * FROM {_KEPT}"),
     "retention_stats": (retention_stats, f"SELECT o.language, o.original, coalesce(k.kept, 0) AS kept, o.original - coalesce(k.kept, 0) AS removed, round(coalesce(k.kept, 0) * 100.0 / o.original, 2) AS rate FROM (SELECT {S.report_lang('language')} AS language, count(*) AS original FROM apply_samples GROUP BY 1) o LEFT JOIN (SELECT language, count(*) AS kept FROM {_KEPT} GROUP BY 1) k ON k.language = o.language"),
     "language_model_pivot": (language_model_pivot, f"SELECT CASE WHEN grouping(language) = 1 THEN 'Average' ELSE language END AS language, {_CELLS} FROM {_VOTES_IN} GROUP BY ROLLUP (language)"),
-    "markdown_report": (markdown_report, None),
+    "markdown_report": (markdown_report, _REPORT_SQL),
     "errors_list": (errors_list, f"SELECT language, round(avg(accuracy), 5) AS macro, min(first_error) AS first_error, CAST(sum(errors) AS BIGINT) AS errors FROM (SELECT language, model, round(avg(score), 6) AS accuracy, min(CASE WHEN score = 0 THEN index END) AS first_error, count(*) FILTER (score = 0) AS errors FROM {_VOTES_IN} GROUP BY 1, 2) GROUP BY language"),
     "count_mismatch": (count_mismatch, _MISMATCH_SQL),
     "pass_rate_rollup": (pass_rate_rollup, "SELECT CASE WHEN grouping(language) = 1 THEN 'ALL' ELSE coalesce(language, 'unknown') END AS language, count(*) AS total, count(*) FILTER (judge_result = 'PASSED') AS passed, count(*) - count(*) FILTER (judge_result = 'PASSED') AS failed, round(count(*) FILTER (judge_result = 'PASSED') * 100.0 / count(*), 2) AS pass_rate FROM judged_samples GROUP BY ROLLUP (language)"),

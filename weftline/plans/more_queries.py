@@ -88,10 +88,14 @@ def html_forms(spark, d):
 
 
 def sql_functions(spark, d):
-    """The registered functions, used from SQL."""
+    """The registered functions, used from SQL: a file with itself, and with one and with three lines more than it should have."""
     register(spark)
-    table(spark, d, "apply_samples").createOrReplaceTempView("weftline_samples")
-    return spark.sql("SELECT sample_id, apply_equiv(ground_truth, ground_truth, lower(language)) AS same, reward_dense(ground_truth, ground_truth, update_snippet, language) AS reward FROM weftline_samples WHERE ground_truth IS NOT NULL")
+    table(spark, d, "apply_samples").where(F.trim(F.coalesce("ground_truth", F.lit(""))) != "").withColumn("g", F.lower(F.trim("language"))).createOrReplaceTempView("weftline_samples")
+    more = lambda n: "concat(rtrim(ground_truth), '" + "\\nQZ_MORE ~~ one' , '".join([""] * n) + "\\nQZ_MORE ~~ one')"
+    return spark.sql(
+        f"SELECT sample_id, apply_equiv(ground_truth, ground_truth, g) AS same, apply_equiv({more(1)}, ground_truth, g) AS other, apply_equiv(CAST(NULL AS STRING), ground_truth, g) AS missing, "
+        f"reward_dense(ground_truth, ground_truth, update_snippet, g) AS reward, reward_dense({more(1)}, rtrim(ground_truth), '', g) AS one_line, reward_dense({more(3)}, rtrim(ground_truth), 'QZ_MORE ~~ one', g) AS three_lines FROM weftline_samples"
+    )
 
 
 def diff_opcodes(spark, d):
@@ -112,6 +116,6 @@ QUERIES = {
     "stream_join_chunks": (stream_join_chunks, "SELECT CAST(sample_id AS VARCHAR) AS request_id, regexp_replace(prediction_raw, '<update_file>|</update_file>', '', 'g') AS text FROM apply_samples WHERE prediction_raw IS NOT NULL"),
     "prediction_records": (prediction_records, f"SELECT coalesce(TRY_CAST(index AS BIGINT), sample_id) AS index, {_KIND} AS kind, {S.report_lang('language')} AS language, 'file.' || coalesce({S.ext('language')}, 'txt') AS name FROM apply_samples"),
     "html_forms": (html_forms, f"SELECT sample_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(ground_truth, '\\s+', ' ', 'g'), '>\\s+<', '><', 'g'), '\\s*/\\s*>', '/>', 'g'))) AS form FROM apply_samples WHERE {S.lang('language')} = 'xml'"),
-    "sql_functions": (sql_functions, "SELECT sample_id, true AS same, CAST(1.0 AS DOUBLE) AS reward FROM apply_samples WHERE ground_truth IS NOT NULL"),
+    "sql_functions": (sql_functions, "SELECT sample_id, true AS same, false AS other, false AS missing, CAST(1 AS DOUBLE) AS reward, CAST(0.65 AS DOUBLE) AS one_line, CAST(0.25 AS DOUBLE) AS three_lines FROM apply_samples WHERE trim(coalesce(ground_truth, '')) <> ''"),
     "diff_opcodes": (diff_opcodes, None),
 }

@@ -42,10 +42,11 @@ def _by_language(name: str):
 
 
 def reflexive(spark, d):
-    """Every file equals itself with other line ends: scores that SQL alone must give."""
+    """Every file equals itself with other line ends, and never itself with a foreign line: scores that SQL alone must give."""
     df = _apply(spark, d, "ground_truth", "language").where(F.col("ground_truth").isNotNull())
-    df = df.withColumn("other", F.regexp_replace(T.newlines("ground_truth"), "\n", "\r\n"))
-    return E.score(df.withColumn("p", P.wrap(F.col("other"))), "p", "ground_truth", "language").select("sample_id", "score")
+    df = df.withColumn("same", P.wrap(F.regexp_replace(T.newlines("ground_truth"), "\n", "\r\n"))).withColumn("more", P.wrap(F.concat("ground_truth", F.lit("\nQZ_MORE ~~ one\n"))))
+    out = E.score(E.score(df, "same", "ground_truth", "language"), "more", "ground_truth", "language", name="with_more")
+    return out.select("sample_id", "score", "with_more")
 
 
 def diff_features(spark, d):
@@ -149,7 +150,7 @@ QUERIES = {
     "language_score": (language_score, None),
     "language_accuracy": (language_accuracy, None),
     **{f"{n.replace('+', 'p')}_equiv": (_by_language(n), None) for n in ("json", "yaml", "xml", "ini", "python")},
-    "reflexive": (reflexive, "SELECT sample_id, CAST(1.0 AS DOUBLE) AS score FROM apply_samples WHERE ground_truth IS NOT NULL"),
+    "reflexive": (reflexive, "SELECT sample_id, CAST(1 AS DOUBLE) AS score, CAST(0 AS DOUBLE) AS with_more FROM apply_samples WHERE ground_truth IS NOT NULL"),
     "diff_features": (diff_features, None),
     "classify_errors": (classify_errors, None),
     "dense_score": (dense_score, None),

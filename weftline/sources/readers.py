@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,30 +52,53 @@ def discover(spark: SparkSession, root: str, language: str) -> list[str]:
 
 
 def load_all(spark: SparkSession, paths: Iterable[str], schema: str | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """S3: the union of all readable files, and the error of each other one."""
-    frames, errors = [], {}
+    """S3: the union of all files that can be read to their last line, and the error of each other one.
+
+    A file that can't be opened shows at once. Bad lines of JSON files, wherever
+    they stand, are counted by one job over all of them; such a file is left out
+    as a whole.
+    """
+    frames, errors = {}, {}
     for path in paths:
         try:
-            df = load(spark, path, schema)
-            df.limit(1).collect()
-            frames.append(df)
+            frames[path] = load(spark, path, schema)
         except Exception as e:
             errors[path] = str(e).split("\n")[0]
+    texts = [path for path in frames if FORMATS[os.path.splitext(path.rstrip("/"))[1].lower()] == "json"]
+    if texts:
+        value = F.try_parse_json("value")
+        rows = spark.read.text(texts).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), value.isNull().alias("bad"))
+        bad = {r.file: r.n for r in rows.where("bad").groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as files at most
+        for path in texts:
+            n = sum(k for file, k in bad.items() if _same_place(file, path))
+            if n:
+                errors[path] = f"{n} lines are no JSON"
+                del frames[path]
     out = None
-    for df in frames:
+    for df in frames.values():
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out, errors
 
 
+def _same_place(file: str, path: str) -> bool:
+    """Whether a file, as Spark names it, is ``path`` or lies in it."""
+    bare = lambda p: re.sub(r"^file:/+", "/", unquote(p)).rstrip("/")
+    return bare(file) == bare(path) or bare(file).startswith(bare(path) + "/")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``line_no`` and ``line`` of non-blank lines; the first line without a byte order mark.
 
-    Line numbers count from 1 in each file: files are read whole lines at a time
-    and numbered by their offset, so large files are still split.
+    Line numbers count from 1 in each file. Each block of a file is numbered by
+    itself and shifted by the lines of the blocks before, so a large file is
+    numbered in as many tasks as it has blocks.
     """
-    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^﻿", "").alias("line"))
-    number = F.expr("row_number() over (partition by file order by block, at)")
-    return df.withColumn("line_no", number).where(F.trim("line") != "").select("file", "line_no", "line")
+    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff", "").alias("line"))
+    sizes = df.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    shifts = sizes.withColumn("before", F.expr("coalesce(sum(n) over (partition by file order by block rows between unbounded preceding and 1 preceding), 0)"))
+    inside = F.expr("row_number() over (partition by file, block order by at)")
+    numbered = df.withColumn("nth", inside).join(shifts.select("file", "block", "before"), ["file", "block"])
+    return numbered.where(F.trim("line") != "").select("file", (F.col("nth") + F.col("before")).alias("line_no"), "line")
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -99,8 +124,18 @@ def splits(spark: SparkSession, **paths: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
-    """Training rows as flat samples; a missing field is an error; ``index`` falls back to the position in the file."""
-    df = load(spark, path, None if path.endswith(".parquet") else TRAINING)
+    """Training rows as flat samples; a missing field is an error; ``index`` falls back to the position in the file.
+
+    The position is the row of a Parquet file, or counts the non-blank lines of a JSON file, from 0.
+    """
+    if path.endswith(".parquet"):
+        df = load(spark, path).withColumn("_at", F.col("_metadata.row_index"))
+    else:
+        rows = lines(spark, path)
+        blocks = F.expr("row_number() over (partition by file, range order by line_no)")
+        rows = rows.withColumn("range", F.floor(F.col("line_no") / 1_000_000)).withColumn("nth", blocks)
+        before = rows.groupBy("file", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.expr("coalesce(sum(n) over (partition by file order by range rows between unbounded preceding and 1 preceding), 0)"))
+        df = rows.join(before.select("file", "range", "before"), ["file", "range"]).select(F.from_json("line", TRAINING, {"mode": "FAILFAST"}).alias("r"), (F.col("nth") + F.col("before") - 1).alias("_at")).select("r.*", "_at")
     for c in ("extra_info", "reward_model"):
         if c not in df.columns:
             raise KeyError(c)
@@ -108,9 +143,8 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     for c in ("original_code", "update_snippet", "language"):
         if c not in e:
             raise KeyError(c)
-    return df.select(
-        F.coalesce(F.col("extra_info.index") if "index" in e else F.lit(None).cast("long"), F.monotonically_increasing_id()).alias("index"), "extra_info.original_code", "extra_info.update_snippet", "extra_info.language", "reward_model.ground_truth"
-    )
+    index = F.coalesce(F.col("extra_info.index") if "index" in e else F.lit(None).cast("long"), F.col("_at").cast("long"))
+    return df.select(index.alias("index"), "extra_info.original_code", "extra_info.update_snippet", "extra_info.language", "reward_model.ground_truth")
 
 
 def results(spark: SparkSession, path: str, method: str) -> DataFrame:
