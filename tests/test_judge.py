@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import compare, diffs
 from weftline.operators import classify, judge, votes
+from weftline.plans import pipeline
 from weftline.sources import readers
 
 COLUMNS = (
@@ -107,3 +108,27 @@ def test_golden_scores(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(GOLDEN)], "id int, language string, p string, t string, want double")
     got = {r.id: r.score for r in compare.score(df, "p", "t", "language").collect()}
     assert [(GOLDEN[i], s) for i, s in sorted(got.items()) if s != GOLDEN[i][3]] == []
+
+
+def test_limiter_and_transports():
+    now, slept = [0.0], []
+    limiter = pipeline.Limiter(2, 10.0, clock=lambda: now[0], sleep=lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    for _ in range(5):
+        limiter.wait()
+    assert slept == [10.0, 10.0]
+    calls, waits = [], []
+
+    def broken(prompt, most):
+        calls.append("broken")
+        yield "half"
+        raise OSError
+
+    assert pipeline.ask("p", 3, [broken, lambda p, m: iter(["a", "b"])], 2, lambda n: 1.0) == "ab" and calls == ["broken"]
+    assert pipeline.ask("p", 3, [broken, lambda p, m: None], 2, lambda n: n + 1.0, sleep=waits.append) is None and len(calls) == 4 and waits == [1.0, 2.0]
+    assert pipeline.ask("p", 3, [], 0, lambda n: 1.0) is None
+
+
+def test_limited_responder(spark):
+    requests = spark.createDataFrame([(str(i), "q", 5) for i in range(6)], "custom_id string, user_prompt string, max_tokens long")
+    got = pipeline.batched_responder(lambda p, m: None, lambda p, m: [p, str(m)], retries=0, rate=(100, 1.0), partitions=3)(requests)
+    assert sorted(map(tuple, got.collect())) == [(str(i), "q5") for i in range(6)]

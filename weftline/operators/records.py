@@ -80,3 +80,14 @@ def request_kind(prompt: Column) -> Column:
 def response_text(c: Column | str) -> Column:
     """The content of the first choice of a response envelope."""
     return F.try_element_at(T.col(c)["body"]["choices"], F.lit(1))["message"]["content"]
+
+
+def language_or_extra(language: Column, extra: Column) -> Column:
+    """The language of a row, else that of its extra fields as far as not blank, else an empty text."""
+    filled = lambda c: F.when(F.trim(F.regexp_replace(c, r"\s", " ")) != "", c)
+    return F.coalesce(filled(language), filled(extra), F.lit(""))
+
+
+def truth_or_reward(final: Column, reward: Column) -> Column:
+    """The final code, even if it is empty, else the truth of the reward model, else null."""
+    return F.coalesce(final, reward)

@@ -32,6 +32,25 @@ def pivot(scored: DataFrame, models: list[str]) -> DataFrame:
     return out.select(F.when(F.col("_all") == 1, "Average").otherwise(F.col("language")).alias("language"), *models)
 
 
+def language_cells(counts: DataFrame, order: list[str]) -> DataFrame:
+    """``language`` and ``cell``: with the number of samples, if all labels agree on it, else that of each label in ``order``.
+
+    ``counts`` has language, label and n, a row per pair; labels without samples don't count.
+    """
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("label"))
+    rows = counts.where((place > 0) & (F.col("n") > 0)).groupBy("language").agg(F.sort_array(F.collect_list(F.struct(place.alias("at"), "label", "n"))).alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    each = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["label"], x["n"].cast("string"))), ", ")
+    cell = F.concat(F.col("language"), F.lit(" ("), F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(each), F.lit(")"))
+    return counts.select("language").distinct().join(rows.select("language", cell.alias("cell")), "language", "left").select("language", F.coalesce("cell", "language").alias("cell"))
+
+
+def run_summary(predictions: DataFrame, answer: Column, elapsed: Column) -> DataFrame:
+    """One row: ``n``, ``success`` (a prediction that isn't empty), ``failed``, total and mean seconds (0 without rows)."""
+    ok = F.coalesce(answer != "", F.lit(False)).cast("long")
+    out = predictions.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(ok), F.lit(0)).alias("success"), F.coalesce(F.sum(elapsed), F.lit(0.0)).alias("total_s"))
+    return out.select("n", "success", (F.col("n") - F.col("success")).alias("failed"), F.round("total_s", 6).alias("total_s"), F.round(F.when(F.col("n") > 0, F.col("total_s") / F.col("n")).otherwise(0.0), 6).alias("mean_s"))
+
+
 def markdown(table: DataFrame, first: str, columns: list[str], last: str = "Average") -> DataFrame:
     """K9: the lines of a Markdown table as (``part``, ``name``, ``line``): header, rule, rows by name, the average last; halves are rounded to even."""
     cell = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", F.bround(F.col(c) * 100, 2))).otherwise("")

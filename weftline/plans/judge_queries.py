@@ -11,6 +11,7 @@ from ..functions import patches as P
 from ..functions import text as T
 from ..operators import classify as C
 from ..operators import judge as J
+from ..operators import records as R
 from ..operators import reports as A
 from ..operators import votes as V
 from ..runtime import checkpoint_dir, spread, table
@@ -151,6 +152,29 @@ FROM apply_samples WHERE original_code IS NOT NULL
 """
 
 
+def language_cells(spark, d):
+    """Languages with the number of samples of three labels, of which one has fewer."""
+    rows = _apply(spark, d, "language").select(T.report_language("language").alias("language"), F.explode(F.array(*[F.struct(F.lit(m).alias("label"), keep.alias("keep")) for m, keep in (("b", F.lit(True)), ("a", F.col("sample_id") % 50 != 0), ("none", F.lit(True)))])).alias("x")).select("language", "x.*").where("keep")
+    return A.language_cells(rows.groupBy("language", "label").agg(F.count(F.lit(1)).alias("n")), ["b", "a"])
+
+
+_CELL_SQL = f"""
+WITH c AS (SELECT language, count(*) AS b, count(*) FILTER (sample_id % 50 <> 0) AS a FROM (SELECT sample_id, {S.report_lang('language')} AS language FROM apply_samples) GROUP BY 1)
+SELECT language, CASE WHEN a = b OR a = 0 THEN language || ' (' || b || ')' ELSE language || ' (b:' || b || ', a:' || a || ')' END AS cell FROM c
+"""
+
+
+def run_summary(spark, d):
+    """Answers and seconds of a run; the seconds come from the ids."""
+    return A.run_summary(_apply(spark, d, "prediction_raw"), F.col("prediction_raw"), (F.col("sample_id") % 16) / 8.0)
+
+
+def field_fallbacks(spark, d):
+    """Language and truth of training rows, from the row itself or its structures."""
+    rows = table(spark, d, "training_rows").withColumn("language", F.when(F.col("row_id") % 3 == 0, " ").when(F.col("row_id") % 3 == 1, "own")).withColumn("final", F.when(F.col("row_id") % 2 == 0, F.lit("")))
+    return rows.select("row_id", R.language_or_extra(F.col("language"), F.col("extra_info.language")).alias("language"), F.length(R.truth_or_reward(F.col("final"), F.col("reward_model.ground_truth"))).alias("truth_chars"))
+
+
 def _place(spark) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/weftline-files-{uuid.uuid4().hex}"
 
@@ -197,6 +221,9 @@ QUERIES = {
     "error_ratios_by_source": (error_ratios_by_source, _RATIOS_SQL),
     "sar_flaws": (sar_flaws, _FLAW_SQL),
     "udiff_flaws": (udiff_flaws, _DRIFT_SQL),
+    "language_cells": (language_cells, _CELL_SQL),
+    "run_summary": (run_summary, "SELECT count(*) AS n, count(*) FILTER (prediction_raw <> '') AS success, count(*) FILTER (prediction_raw IS NULL OR prediction_raw = '') AS failed, round(sum((sample_id % 16) / 8.0), 6)::DOUBLE AS total_s, round(avg((sample_id % 16) / 8.0), 6)::DOUBLE AS mean_s FROM apply_samples"),
+    "field_fallbacks": (field_fallbacks, "SELECT row_id, coalesce(CASE WHEN row_id % 3 = 1 THEN 'own' END, CASE WHEN trim(regexp_replace(extra_info.language, '\\s', ' ', 'g')) <> '' THEN extra_info.language END, '') AS language, CASE WHEN row_id % 2 = 0 THEN 0 ELSE length(reward_model.ground_truth) END AS truth_chars FROM training_rows"),
     "jsonl_strict": (jsonl_strict, "SELECT sample_id, language, length(original_code) AS n, CAST(NULL AS VARCHAR) AS error FROM apply_samples"),
     "jsonl_faults": (jsonl_faults, "SELECT count(*) FILTER (sample_id % 7 <> 0) AS good, count(*) FILTER (sample_id % 7 = 0) AS bad, count(*) AS united, 1 AS left_out FROM apply_samples"),
     "sample_load": (sample_load, "SELECT coalesce(extra_info.index, file_row_number) AS index, extra_info.language AS language, length(extra_info.original_code) AS n, md5(reward_model.ground_truth) AS truth FROM (SELECT *, row_number() OVER () - 1 AS file_row_number FROM training_rows)"),

@@ -7,6 +7,8 @@ barriers everything is one lazy plan.
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -35,31 +37,63 @@ def echo_responder(answer: Callable) -> Responder:
     return lambda requests: requests.select("custom_id", answer(F.col("user_prompt")).alias("content"))
 
 
-def batched_responder(call: Callable[[str, int], str | None], retries: int = 2, wait: Callable[[int], float] = lambda n: 2.0**n + 10) -> Responder:
-    """L1-L4: calls a model from the executors; ``None`` and errors are retried after a wait and then dropped."""
+class Limiter:
+    """L2: at most ``calls`` in any ``seconds``, for one partition; partitions times calls is the cap of a cluster."""
+
+    def __init__(self, calls: int, seconds: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.seconds, self.clock, self.sleep = seconds, clock, sleep
+        self.times: deque[float] = deque(maxlen=calls)
+
+    def wait(self) -> None:
+        if len(self.times) == self.times.maxlen:
+            left = self.times[0] + self.seconds - self.clock()
+            if left > 0:
+                self.sleep(left)
+        self.times.append(self.clock())
+
+
+def ask(prompt: str, most: int, transports: list[Callable], retries: int, wait: Callable[[int], float], before: Callable[[], None] = lambda: None, sleep: Callable[[float], None] = time.sleep) -> str | None:
+    """The answer of the first transport that gives one; all are tried before a wait.
+
+    A transport returns a text, ``None``, or the pieces of a stream, which are joined;
+    a stream that breaks off counts as no answer.
+    """
+    for n in range(retries + 1):
+        for call in transports:
+            before()
+            try:
+                answer = call(prompt, most)
+                if answer is not None:
+                    return answer if isinstance(answer, str) else "".join(answer)
+            except Exception:
+                continue
+        if n < retries:
+            sleep(wait(n))
+    return None
+
+
+def batched_responder(*transports: Callable, retries: int = 2, wait: Callable[[int], float] = lambda n: 2.0**n + 10, rate: tuple[int, float] | None = None, partitions: int | None = None) -> Responder:
+    """Calls a model from the executors; requests without an answer after all retries are dropped.
+
+    ``transports`` are tried in turn (a client, then plain HTTP); ``rate`` limits the
+    calls of each partition, and ``partitions`` is the number of calls at a time.
+    """
 
     def respond(requests: DataFrame) -> DataFrame:
         def run(batches):
-            import time
-
             import pandas as pd
 
+            limiter = Limiter(*rate) if rate else None
             for batch in batches:
                 out = []
                 for i, prompt, most in zip(batch.custom_id, batch.user_prompt, batch.max_tokens):
-                    for n in range(retries + 1):
-                        try:
-                            answer = call(prompt, int(most))
-                        except Exception:
-                            answer = None
-                        if answer is not None:
-                            out.append((i, answer))
-                            break
-                        if n < retries:
-                            time.sleep(wait(n))
+                    answer = ask(prompt, int(most), list(transports), retries, wait, limiter.wait if limiter else lambda: None)
+                    if answer is not None:
+                        out.append((i, answer))
                 yield pd.DataFrame(out, columns=["custom_id", "content"])
 
-        return requests.select("custom_id", "user_prompt", "max_tokens").mapInPandas(run, "custom_id string, content string")
+        spread = requests.repartition(partitions) if partitions else requests
+        return spread.select("custom_id", "user_prompt", "max_tokens").mapInPandas(run, "custom_id string, content string")
 
     return respond
 
