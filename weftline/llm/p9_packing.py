@@ -1,14 +1,14 @@
 """Problem 9: filling containers of fixed capacity with whole texts.
 
-All planning happens on the histogram of lengths, which has at most
-``capacity`` entries however large the corpus is. ``length_buckets`` is the
-method named for this problem: dynamic programming chooses the bucket bounds
-with the least padding and batches form inside each bucket. Measured, it leaves
-far more room unused than the task allows (a bucket of texts just above half
-the capacity wastes almost half of each container), so ``plan`` fills
-containers across buckets: from the longest length left it looks for one or
-two lengths that fill the container to the last token, else the longest that
-fits, and repeats a filling as often as the histogram allows. Both are offered.
+All planning happens on the global histogram of lengths, which has at most
+``capacity`` entries however large the corpus is. Dynamic programming chooses
+the bounds of length buckets with the least padding, and batches under a budget
+of tokens form inside each bucket, the longest first: a container takes texts of
+its bucket as long as they fit. What then is left of it (almost half, where texts
+are just above half the capacity) is topped up from shorter buckets: by one or
+two lengths that fill it to the last token, else by the longest that fits. A
+filling is repeated as often as the histogram allows. ``bucket_batches`` is the
+method without topping up, with padded batches, for comparison.
 
 Defined results: a null text and a text without tokens have no piece; a text
 longer than the capacity is cut into full containers and a rest, which is
@@ -27,7 +27,7 @@ from ..runtime import spread, stored, table
 from .p8_encoding import count_tokens
 from .ranking import number_within
 
-CAPACITY = 2048
+CAPACITY, BUCKETS = 2048, 16
 
 
 def length_buckets(hist: dict[int, int], k: int) -> list[int]:
@@ -59,11 +59,15 @@ def length_buckets(hist: dict[int, int], k: int) -> list[int]:
     return bounds[::-1]
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
+def plan(hist: dict[int, int], capacity: int = CAPACITY, buckets: int = BUCKETS) -> list[tuple[int, list[tuple[int, int]]]]:
     """Fillings as (how often, [(length, how many), ...]); they use up ``hist``."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
+    left, least = np.zeros(capacity + 1, dtype=np.int64), np.zeros(capacity + 1, dtype=np.int64)
     for n, c in hist.items():
         left[n] = c
+    above = 0
+    for bound in length_buckets(hist, buckets):
+        least[above + 1 : bound + 1] = above + 1
+        above = bound
     out = []
     while True:
         there = np.flatnonzero(left)
@@ -78,7 +82,11 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list
             left[n] -= 1
             room -= n
 
-        take(int(there[-1]))
+        longest = int(there[-1])
+        low = int(least[longest])
+        take(longest)
+        while room >= low and len(own := np.flatnonzero(left[low : min(room, longest) + 1])):
+            take(low + int(own[-1]))  # the batch inside the bucket
         while room:
             if left[room]:
                 take(room)
@@ -157,8 +165,8 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
     return numbered.withColumn("at", place("n_tokens", "nth")).select(key, "piece", "token_start", "n_tokens", "at.container", "at.slot", "at.position")
 
 
-def bucket_batches(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, buckets: int = 16) -> DataFrame:
-    """The method named: ``key``, ``piece``, ``bound``, ``batch``, ``slot``; a batch holds ``capacity // bound`` pieces."""
+def bucket_batches(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+    """The method without topping up: ``key``, ``piece``, ``bound``, ``batch``, ``slot``; a batch holds ``capacity // bound`` pieces."""
     parts = stored(pieces(sizes, key, capacity), "pieces")
     hist = {r[0]: r[1] for r in parts.groupBy("n_tokens").count().collect()}  # at most `capacity` rows
     bounds = length_buckets(hist, buckets) or [capacity]
