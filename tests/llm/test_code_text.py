@@ -233,6 +233,15 @@ def test_credentials(spark, credentials):
     assert p7.find(df.limit(0), p7.train(df.limit(0))).count() == 0
 
 
+def test_places_of_credentials():
+    mine = p7.Detector(p7.Markov({}), None)
+    key = "-----BEGIN PRIVATE KEY-----\nAb1\n\nxyz\n-----END PRIVATE KEY-----"
+    text = f"a\n\nPASSWORD = 'Zq8#kk3Lm2'\nx = 1\n{key} # tail\nb\nAPI_KEY = 'q9Wz8xR7tT'\n\n-----BEGIN RSA PRIVATE KEY-----\nrest 1\nTOKEN='q9Wz8xR7tT'"
+    found = mine.find([text, None, "", "API_KEY = 'q9Wz8xR7tT'", f"{key}\n{key}"], ["a.py"] * 5)
+    assert [n for n, *_ in found[0]] == [3, 5, 11, 13] and found[1] == found[2] == [] and found[3] == [(1, 11, 21)] and [n for n, *_ in found[4]] == [1, 6]
+    assert text[found[0][0][1] : found[0][0][2]] == "Zq8#kk3Lm2" and text[found[0][1][1] : found[0][1][2]] == "\nAb1\n\nxyz\n" and found[0][3][2] == len(text)
+
+
 def test_trees():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 4))

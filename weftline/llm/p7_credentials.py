@@ -212,28 +212,34 @@ class Detector:
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         places, x = [], []
         for k, (text, path) in enumerate(zip(texts, paths)):
-            if not text or not _TRIGGER.search(text):
+            if not text:
                 continue
-            at, number, pem = 0, 0, None
-            for line in text.split("\n"):
-                number += 1
-                if pem is not None:
-                    if e := _PEM_END.search(line):
-                        found[k].append((pem[0], pem[1], at + e.start()))
-                        pem = None
-                elif _TRIGGER.search(line):
-                    if b := _PEM.search(line):
-                        if e := _PEM_END.search(line, b.end()):
-                            found[k].append((number, at + b.end(), at + e.start()))
-                        else:
-                            pem = (number, at + b.end())
-                    else:
-                        for start, end, kind, before in candidates(line):
-                            places.append((k, number, at + start, at + end))
-                            x.append(describe(line, start, end, kind, before, path or "", self.markov))
-                at += len(line) + 1
-            if pem is not None:
-                found[k].append((pem[0], pem[1], len(text)))
+            # from trigger to trigger: lines without one are passed over in one search
+            number, at = 1, 0
+            while m := _TRIGGER.search(text, at):
+                first = text.rfind("\n", at, m.start()) + 1 or at
+                number += text.count("\n", at, first)
+                end = text.find("\n", m.end())
+                end = len(text) if end < 0 else end
+                line = text[first:end]
+                if b := _PEM.search(line):
+                    # a key goes on to its end, over as many lines as it has
+                    start = first + b.end()
+                    e = _PEM_END.search(text, start)
+                    found[k].append((number, start, e.start() if e else len(text)))
+                    if not e:
+                        break
+                    stop = text.find("\n", e.end())
+                    stop = len(text) if stop < 0 else stop
+                    number += text.count("\n", first, stop)
+                    end = stop
+                else:
+                    for start, stop, kind, before in candidates(line):
+                        places.append((k, number, first + start, first + stop))
+                        x.append(describe(line, start, stop, kind, before, path or "", self.markov))
+                if end >= len(text):
+                    break
+                number, at = number + 1, end + 1
         last = (-1, -1)
         for k, number, start, end in sorted({p for p, hit in zip(places, self.hits(x)) if hit}):
             if (k, start) >= last:
