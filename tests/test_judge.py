@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import compare, diffs
 from weftline.operators import classify, judge, votes
+from weftline.operators.batching import merge_intervals
 from weftline.plans import pipeline
 from weftline.sources import readers
 
@@ -132,3 +133,25 @@ def test_limited_responder(spark):
     requests = spark.createDataFrame([(str(i), "q", 5) for i in range(6)], "custom_id string, user_prompt string, max_tokens long")
     got = pipeline.batched_responder(lambda p, m: None, lambda p, m: [p, str(m)], retries=0, rate=(100, 1.0), partitions=3)(requests)
     assert sorted(map(tuple, got.collect())) == [(str(i), "q5") for i in range(6)]
+
+
+def test_intervals_of_a_hot_key(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [("hot" if i % 3 else f"k{i % 7}", s := rng.randrange(20_000), s + rng.randrange(9)) for i in range(4000)] + [("far", 0, 10**6)] + [("far", i, i + 1) for i in range(5, 4000, 9)] + [(None, 1, 2), (None, 2, 3)]
+    df = spark.createDataFrame(rows, "k string, s long, e long").repartition(5)
+    want = set()
+    for k in {r[0] for r in rows}:
+        at = None
+        for s, e in sorted((s, e) for q, s, e in rows if q == k):
+            if at and s <= at[1]:
+                at[1] = max(at[1], e)
+            else:
+                if at:
+                    want.add((k, *at))
+                at = [s, e]
+        want.add((k, *at))
+    got = [tuple(r) for r in merge_intervals(df, "k", "s", "e").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert merge_intervals(df.limit(0), "k", "s", "e").count() == 0

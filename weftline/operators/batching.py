@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, stored
 
 LIMIT, ROWS = 90_000, 1_000_000
 
@@ -100,10 +100,23 @@ def outcome(tokens: np.ndarray, limit: int) -> dict:
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Intervals that overlap or touch become one, per key (gaps and islands)."""
-    df = df.select(key, start, end).distinct()  # repeated intervals of a hot key end here
-    order = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = df.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
-    island = opened.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Intervals that overlap or touch become one, per key (gaps and islands).
+
+    Rows are cut into stretches in order of key and start. A stretch learns how far
+    the ones before it in its key reach, and how many islands they open, so windows
+    never hold more than a stretch of a key.
+    """
+    slim = stored(df.select(key, start, end).distinct().repartitionByRange(key, start, end).withColumn("_at", F.spark_partition_id()), "intervals")
+    # one row for each key in a stretch
+    before = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    same = lambda a, b: a[key].eqNullSafe(b[f"_{key}"]) & (a["_at"] == b["_there"])
+    known = lambda per, name: per.select(F.col(key).alias(f"_{key}"), F.col("_at").alias("_there"), name)
+    reach = known(slim.groupBy(key, "_at").agg(F.max(end).alias("_most")).withColumn("_reach", F.max("_most").over(before)), "_reach")
+    inside = Window.partitionBy(key, "_at").orderBy(start, end)
+    so_far = F.greatest("_reach", F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    opened = slim.join(reach, same(slim, reach)).drop(f"_{key}", "_there").withColumn("_new", F.when(F.col(start) <= so_far, 0).otherwise(1))
+    opened = stored(opened.select(key, start, end, "_at", "_new"), "opened")
+    first = known(opened.groupBy(key, "_at").agg(F.sum("_new").alias("_here")).withColumn("_first", F.coalesce(F.sum("_here").over(before), F.lit(0))), "_first")
+    number = F.col("_first") + F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    island = opened.join(first, same(opened, first)).drop(f"_{key}", "_there").withColumn("_island", number)
     return island.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")

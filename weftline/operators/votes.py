@@ -34,7 +34,7 @@ def thresholds(hist: DataFrame, models: DataFrame, least: int = 5) -> DataFrame:
 
 def rejected(votes: DataFrame, limits: DataFrame) -> DataFrame:
     """Samples with at least as many votes as their language's threshold."""
-    return votes.join(F.broadcast(limits), "language").where(F.col("votes") >= F.col("threshold")).select("language", "index", "votes")
+    return votes.join(limits, "language").where(F.col("votes") >= F.col("threshold")).select("language", "index", "votes")
 
 
 def by_votes(votes: DataFrame, models: int, shown: int = 50, least: int = 4) -> DataFrame:
