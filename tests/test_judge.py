@@ -1,5 +1,6 @@
 """Judge records, replies on error classes, votes by count, and readers of large or faulty files."""
 
+import glob
 import json
 
 import pytest
@@ -9,6 +10,7 @@ from weftline.functions import compare, diffs
 from weftline.operators import classify, judge, votes
 from weftline.operators.batching import merge_intervals
 from weftline.plans import pipeline
+from weftline.runtime import checkpoint_dir, clear, stored
 from weftline.sources import readers
 
 COLUMNS = (
@@ -155,3 +157,9 @@ def test_intervals_of_a_hot_key(spark):
     got = [tuple(r) for r in merge_intervals(df, "k", "s", "e").collect()]
     assert set(got) == want and len(got) == len(want)
     assert merge_intervals(df.limit(0), "k", "s", "e").count() == 0
+
+
+def test_clear(spark):
+    df = stored(spark.range(5), "short")
+    assert df.count() == 5 and clear(spark) >= 1 and clear(spark) == 0
+    assert not glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/weftline-short-*")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,6 +41,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local[") and sc.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="weftline-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)
     return own
 
@@ -74,9 +77,26 @@ def stored_path(df: DataFrame, name: str = "table") -> str:
     """Write ``df`` as Parquet in the shared checkpoint folder; the path of the table."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return path
 
 
+_WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that :func:`stored` has written in this process; how many there were.
+
+    Results that still read them can't be computed after that, so a caller does this when it has
+    written its own.
+    """
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
