@@ -3,12 +3,12 @@
 Each round tosses a coin for every vertex that still has an edge, by a hash of
 vertex and round. A tail with a neighbour that shows heads collapses into the
 least such neighbour; edges are renamed, loops and repeats dropped, until no
-edge is left. The rounds' moves are then unwound, last first, so that each
-vertex learns the vertex its component ended in. The edges of each round, and
-the roots of each step back, are tables of their own, so plans stay as small
-as that of one round, and what later rounds found is read as one scan of
-their tables. A vertex of very many edges is looked up by broadcast
-(:mod:`skew`). Nothing is gathered on the driver but the number of edges left.
+edge is left. Each round is one table, of the edges left and the moves made, so
+plans stay as small as that of one round. A vertex moves once at most, so the
+moves of all rounds are a forest no deeper than there were rounds; it is
+unwound by looking up where a vertex's target went, which doubles the way each
+time. A vertex of very many edges is looked up by broadcast (:mod:`skew`).
+Nothing is gathered on the driver but the number of edges left.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stored, stored_path
-from .skew import HOT, hot_keys, look_up
+from .skew import HOT, look_up
 
 
 def _heads(vertex: str, turn: int) -> Column:
@@ -36,14 +36,17 @@ def _mates(left: DataFrame, turn: int) -> DataFrame:
 
 
 def contract(left: DataFrame, turn: int, count: int) -> DataFrame:
-    """The ``count`` edges ``left`` after one round."""
+    """The ``count`` edges ``left`` (u, v) after one round, and its moves: ``u``, ``v`` and ``moved``."""
     mates = _mates(left, turn)
-    hot = mates.where(F.col("degree") > max(HOT, 2 * count / HOT))
-    moves = mates.where(F.col("to").isNotNull())
+    hot = mates.where(F.col("degree") > max(HOT, 2 * count / HOT)) if 2 * count > HOT else None
+    moves = mates.where(F.col("to").isNotNull()).select("u", "to")
     for side, other in (("u", "v"), ("v", "u")):
-        name = lambda df, side=side: df.select(F.col("u").alias(side), "to")
-        left = look_up(left, name(moves), side, F.col(other), name(hot)).select(F.coalesce("to", side).alias(side), other)
-    return left.where(F.col("u") != F.col("v")).select(*_undirected(F.col("u"), F.col("v"))).distinct()
+        found = moves.withColumnRenamed("u", side)
+        # too few edges for any vertex to be hot need no second join
+        near = left.join(found, side, "left") if hot is None else look_up(left, found, side, F.col(other), hot.select(F.col("u").alias(side)))
+        left = near.select(F.coalesce("to", side).alias(side), other)
+    edges = left.where(F.col("u") != F.col("v")).select(*_undirected(F.col("u"), F.col("v"))).distinct()
+    return edges.withColumn("moved", F.lit(False)).union(moves.withColumn("moved", F.lit(True)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -56,26 +59,16 @@ def components(edges: DataFrame) -> DataFrame:
     every = stored(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select(*_undirected(F.col("u"), F.col("v"))).distinct(), "edges")
     loops = every.where(F.col("u") == F.col("v")).select(F.col("u").alias("vertex"))
     left = every.where(F.col("u") != F.col("v"))
-    rounds: list[DataFrame] = []
-    while count := left.count():
-        rounds.append(left)
-        left = stored(contract(left, len(rounds) - 1, count), "edges")
     kind = every.schema["u"].dataType.simpleString()
     paths: list[str] = []
-
-    def found() -> DataFrame:
-        return spark.read.schema(f"vertex {kind}, root {kind}").parquet(*paths)
-
-    for turn in reversed(range(len(rounds))):
-        now = _mates(rounds[turn], turn).where(F.col("to").isNotNull()).select(F.col("u").alias("vertex"), "to")
-        if paths:
-            now = look_up(now, found().withColumnRenamed("vertex", "to"), "to", F.col("vertex"), hot_keys(now, "to", rounds[turn].count()))
-        else:
-            now = now.withColumn("root", F.lit(None).cast(kind))
-        paths.append(stored_path(now.select("vertex", F.coalesce("root", "to").alias("root")), "roots"))
+    while count := left.count():
+        paths.append(stored_path(contract(left, len(paths), count), "round"))
+        left = spark.read.schema(f"u {kind}, v {kind}, moved boolean").parquet(paths[-1]).where("not moved").select("u", "v")
     if not paths:
         return loops.select("vertex", F.col("vertex").alias("root"))
-    own = found().select("root").distinct().select(F.col("root").alias("vertex"), "root")
-    paths.append(stored_path(own, "roots"))
-    known = found()
+    roots = spark.read.schema(f"u {kind}, v {kind}, moved boolean").parquet(*paths).where("moved").select(F.col("u").alias("vertex"), F.col("v").alias("root"))
+    for _ in range(max(0, (len(paths) - 1).bit_length())):  # a way of as many moves as rounds
+        further = roots.select(F.col("vertex").alias("root"), F.col("root").alias("next"))
+        roots = stored(look_up(roots, further, "root", F.col("vertex")).select("vertex", F.coalesce("next", "root").alias("root")), "roots")
+    known = stored(roots.union(roots.select("root").distinct().select(F.col("root").alias("vertex"), "root")), "components")
     return known.union(loops.join(known, "vertex", "left_anti").select("vertex", F.col("vertex").alias("root")))
