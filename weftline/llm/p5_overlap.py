@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ..runtime import spread, stored, table
 from .p6_near_duplicates import SHINGLES
 from .shingles import WORDS, mix, runs, signature
+from .skew import look_up
 
 SIMILARITY = 0.7
 TEXTS, PAIRS = 100, 2000  # evaluation texts in a shard, and pairs in a block of it
@@ -286,23 +287,49 @@ def row_overlaps(records: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return pairs.select("evaluation", "training", "field", "similarity", "coverage")
 
 
+def passages(records: DataFrame, places: bool) -> DataFrame:
+    """``route`` (a passage with its field) of each class's first row in a task; with ``places`` also ``cls`` and ``at``, else each once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                field, cls, words = (c.to_pylist() for c in batch.slice(at, 500).columns)
+                own = [mix(runs(w.split(" ")) + np.uint64(FIELDS.index(f))).view(np.int64) for f, w in zip(field, words)]
+                if places:
+                    n = [len(x) for x in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(np.array(cls, np.int64), n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n]))], ["route", "cls", "at"])
+                else:
+                    waiting += own
+                    if sum(map(len, waiting)) > 8_000_000:  # 64 MB
+                        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(waiting)))], ["route"])
+                        waiting = []
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(waiting)))], ["route"])
+
+    schema = "route long, cls long, at int" if places else "route long"
+    return records.select("field", "cls", "words").mapInArrow(run, schema)
+
+
 def row_coverage(records: DataFrame) -> DataFrame:
     """``evaluation`` and ``coverage`` of each evaluation row with three words or more in a field: the better field's share of words inside passages of any training text.
 
     All training texts count, also those of another length or similar to none; passages
-    are distinct before they are shuffled, and repeated texts are one class.
+    are distinct before they are shuffled, and repeated texts are one class. The
+    matched intervals of a class are merged in one array, no longer than its text.
     """
-    passages = F.expr("transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))")
-    texts_of = lambda own: members(records).where(own).where("first").groupBy("field", "cls").agg(F.split(F.first("words"), " ").alias("w")).withColumn("p", passages)
-    known = texts_of("train").select("field", F.explode(F.array_distinct("p")).alias("passage")).distinct()
-    evaluation = texts_of("not train")
-    at = evaluation.select("field", "cls", F.posexplode("p").alias("at", "passage")).join(known, ["field", "passage"], "left_semi")
-    # merged intervals: each word once
-    inside = at.select("field", "cls", F.explode(F.array(*[F.col("at") + k for k in range(3)])).alias("word")).groupBy("field", "cls").agg(F.countDistinct("word").alias("inside"))
-    share = F.coalesce("inside", F.lit(0)) / F.col("n_words")
-    classes = evaluation.select("field", "cls", F.size("w").alias("n_words")).join(inside, ["field", "cls"], "left").select("field", "cls", share.alias("coverage"))
-    rows = members(records).where("not train").select(F.col("id").alias("evaluation"), "field", "cls")
-    return rows.join(classes, ["field", "cls"]).groupBy("evaluation").agg(F.max("coverage").alias("coverage"))
+    every = members(records)
+    known = passages(every.where("train").where("first"), places=False)
+    one = every.where("not train").where("first").groupBy("field", "cls").agg(F.first("words").alias("words"), F.first("n").alias("n"))
+    one = one.withColumn("own", F.xxhash64("field", "cls"))  # a class of one field
+    at = passages(one.select("field", F.col("own").alias("cls"), "words"), places=True).join(known, "route", "left_semi")
+    spots = at.groupBy("cls").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    # a passage covers its three words, less what the next one covers again
+    inside = F.aggregate(F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3)))), F.lit(0), lambda t, x: t + x)
+    sizes = one.select("own", F.size(F.split("words", " ")).alias("n_words"))
+    classes = sizes.join(spots.select(F.col("cls").alias("own"), inside.alias("inside")), "own", "left").select("own", (F.coalesce("inside", F.lit(0)) / F.col("n_words")).alias("coverage"))
+    rows = every.where("not train").select(F.col("id").alias("evaluation"), F.xxhash64("field", "cls").alias("own"))
+    return look_up(rows, classes, "own", F.col("evaluation")).groupBy("evaluation").agg(F.max("coverage").alias("coverage"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
