@@ -133,7 +133,11 @@ def neighbours(language: str) -> frozenset[str]:
         out |= {"@i", "n@", "}@", "?."}
     if language in ("javascript", "typescript"):
         out |= {")i", ")0", ")s", ")!", ")u"}  # a condition and its statement; others fail in their window
-    return frozenset(out)
+    # a member sign or an arrow needs something behind it, and a comma more than the end of a statement
+    never = {a + b for a in ".a" for b in ")]};,:"} | {",;", ";,", ",:", "=;", "=,", "/;", "+;", "=)", "=]", "..", ".a", "a."}
+    if language not in ("javascript", "typescript"):
+        never |= {",,", "(,", "[,"}
+    return frozenset(out - never)
 
 
 _INNER = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
