@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..runtime import stored, table
 from .contraction import components
 from .ranking import running_total
-from .skew import look_up
+from .skew import hot_keys, look_up
 
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 
@@ -79,7 +79,7 @@ def keys(df: DataFrame, key: str = "sample_id") -> DataFrame:
     names = base.where(F.col("named").isNotNull()).select(F.col("named").alias("by_path"), F.col("named").alias("known")).distinct()
     lost = base.where(F.col("named").isNull() & F.col("by_path").isNotNull()).select("by_path").distinct().join(names, "by_path")
     full = full_commits(base.where(F.col("commit").isNotNull()).select("commit").distinct())
-    out = look_up(look_up(base, lost, "by_path", F.col("id")), full, "commit", F.col("id"))
+    out = look_up(look_up(base, lost, "by_path", F.col("id")), full, "commit", F.col("id"), hot_keys(base, "commit"))
     return out.select("id", "stored", F.coalesce("named", "known").alias("repo"), F.coalesce("full", "commit").alias("commit"))
 
 
